@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from lateview.llm import simhash
+from lateview.llm import chat, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sharding": sharding.op2_sharding,
+    "op4_chat": chat.op4_chat,
+    "op5_mixing": mixing.op5_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+}
