@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lateview.llm import chat, mixing, sharding, simhash
+from lateview.llm import chat, langid, media, mixing, pii, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_sharding": sharding.op2_sharding,
+    "op3_media": media.op3_media,
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op6_pii": pii.op6_pii,
+    "op8_langid": langid.op8_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
