@@ -44,22 +44,11 @@ def target_sizes(sizes: DataFrame, weights: list[int], share: float, most: float
     return rows.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document goes into the mix: ``id, source, size, source_size, target, times``.
+def thresholds(rows: DataFrame, weights: list[int], share: float, most: int) -> DataFrame:
+    """``s, source_size, target, whole, threshold`` for each source of ``rows`` (``source, size, h``).
 
-    ``size`` is the text's number of words (runs without 0x20, 0x09-0x0D; null: 0). A source is
-    taken whole as often as its target allows, and once more where the hash of the id lies
-    below a threshold: the last cell of the histogram goes in if that comes nearer. Rows with
-    equal ids, or null ids, share a hash and stand or fall together. Null is a source of its
-    own. Sources without words have target 0. An empty table gives no rows.
+    A source is taken whole ``whole`` times, and once more where ``h`` is below ``threshold`` (null: nowhere).
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long").alias("h"),
-    )
-    rows = write_shared(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = target_sizes(sizes, weights, share, most)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -81,11 +70,50 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col
         edge = write_shared(edge)
     nearer = F.col("sum") - F.col("budget") < F.col("budget") - F.col("base")
     edge = edge.select(F.col("s").alias("e"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
-    plan = plan.join(edge, F.col("s").eqNullSafe(F.col("e")), "left")
-    # a budget that no cell exceeds is that of a source taken whole
+    return plan.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "whole", "threshold")
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[F.Column]:
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return [
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(text_col, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(key, 1, BITS // 4), 16, 10).cast("long").alias("h"),
+    ]
+
+
+def _times() -> F.Column:
+    return (F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often each document goes into the mix: ``id, source, size, source_size, target, times``.
+
+    ``size`` is the text's number of words (runs without 0x20, 0x09-0x0D; null: 0). A source is
+    taken whole as often as its target allows, and once more where the hash of the id lies
+    below a threshold: the last cell of the histogram goes in if that comes nearer. Rows with
+    equal ids, or null ids, share a hash and stand or fall together. Null is a source of its
+    own. Sources without words have target 0. An empty table gives no rows.
+    """
+    rows = write_shared(docs.select(F.col(id_col).alias("id"), *_measured(docs, id_col, text_col, source_col)))
+    plan = thresholds(rows, weights, share, most)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    more = F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + more).cast("long").alias("times"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _times().alias("times"))
+
+
+def take(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, with their own columns.
+
+    Texts are not shuffled: each row is held against its source's threshold, and what is taken
+    twice is repeated. A source's threshold comes by a join on the source alone.
+    """
+    rows = write_shared(docs.select(*_measured(docs, id_col, text_col, source_col)))
+    plan = thresholds(rows, weights, share, most).select("s", "whole", "threshold")
+    held = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    marked = docs.select(*(F.col(c).alias(k) for k, c in held.items()), *_measured(docs, id_col, text_col, source_col))
+    marked = marked.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("_times", _times().cast("int"))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
+    return marked.select(*held, again.alias("_again")).select(*(F.col(k).alias(c) for k, c in held.items()))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

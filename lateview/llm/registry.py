@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lateview.llm import chat, langid, media, mixing, pii, sharding, simhash
+from lateview.llm import ann, chat, langid, media, mixing, pieces, pii, sentencepieces, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,7 +11,10 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
     "op6_pii": pii.op6_pii,
+    "op7_token_counts": pieces.op7_token_counts,
     "op8_langid": langid.op8_langid,
+    "op9_ann": ann.op9_ann,
+    "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
