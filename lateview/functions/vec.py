@@ -47,7 +47,7 @@ def is_finite(v: Column) -> Column:
 
 def is_matrix(matrix: Column) -> Column:
     """True for a non-empty array of non-empty arrays of one length."""
-    width = F.size(F.element_at(matrix, 1))
+    width = F.size(F.get(matrix, F.lit(0)))
     return F.coalesce(
         (F.size(matrix) > 0) & F.forall(matrix, lambda v: v.isNotNull() & (F.size(v) > 0) & (F.size(v) == width)),
         F.lit(False),

@@ -66,8 +66,8 @@ class CompactIndex:
             bad(vec.is_matrix(F.col("vectors"))).alias("shape"),
             bad(F.forall("vectors", vec.is_finite)).alias("finite"),
             F.count_distinct("item_id").alias("ids"),
-            F.min(F.size(F.element_at("vectors", 1))).alias("low"),
-            F.max(F.size(F.element_at("vectors", 1))).alias("high"),
+            F.min(F.size(F.get("vectors", F.lit(0)))).alias("low"),
+            F.max(F.size(F.get("vectors", F.lit(0)))).alias("high"),
             F.sum(F.size("vectors")).alias("vectors"),
         ).first()
         if found["shape"]:
