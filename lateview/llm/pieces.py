@@ -21,7 +21,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Nodes after which a task starts its trie afresh; longer pre-tokens are scored without it.
-TRIE_NODES, TRIE_LENGTH = 400_000, 64
+TRIE_NODES, TRIE_LENGTH = 1_200_000, 64
 
 #: No piece goes on with a space after another character, and none holds a line feed: cuts there change no best path.
 PRE_TOKEN = re.compile("[ ]+[^ \n]*|[^ \n]+|\n")
@@ -51,21 +51,36 @@ class Pieces:
                 self.ids[piece] = i
                 self.spelt[i] = piece.encode()
         self.longest = max(map(len, self.scores))
+        #: Every ending of a piece, with the piece's score or None if it is none: a walk back from a place stops early.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in self.scores for i in range(1, len(p))}
+        self.endings.update(self.scores)
+        #: Neighbours inside some piece; between others every path has a cut.
+        self.joined = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         self.unknown = min(s for s in self.scores.values() if s > -1e8) - UNKNOWN_PENALTY
 
+    def cut(self, word: str) -> list[str]:
+        """``word`` in parts that no piece crosses: the best path is that of the parts, one after another."""
+        joined, out, last = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[last:i])
+                last = i
+        out.append(word[last:])
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of the best path through one pre-token; of equal paths the one whose last pieces are longest."""
         best, back = [0.0], [(0, "")]
         for end in range(1, len(word) + 1):
-            top, at = float("-inf"), (0, "")
-            for start in range(max(0, end - self.longest), end):
+            top, at = best[-1] + self.unknown, (end - 1, word[end - 1])
+            if at[1] in self.scores:
+                top = best[-1] + self.scores[at[1]]
+            for start in range(end - 2, -1, -1):
                 piece = word[start:end]
-                score = self.scores.get(piece)
-                if score is None:
-                    if start < end - 1:
-                        continue
-                    score = self.unknown
-                if best[start] + score > top:
+                if piece not in self.endings:
+                    break
+                score = self.endings[piece]
+                if score is not None and best[start] + score >= top:
                     top, at = best[start] + score, (start, piece)
             best.append(top)
             back.append(at)
@@ -98,24 +113,32 @@ class Trie:
             return len(self.pieces.encode_word(word))
         if len(self.best) > TRIE_NODES:
             self.clear()
-        scores, longest = self.pieces.scores, self.pieces.longest
+        endings, missing = self.pieces.endings, self
         child, best, count = self.child, self.best, self.count
-        node, path = 0, [0]
-        for i, c in enumerate(word):
+        node, path, end = 0, [0], 0
+        for c in word:
+            end += 1
             key = node << 21 | ord(c)
             node = child.get(key, -1)
             if node < 0:
                 node = child[key] = len(best)
-                top, n = float("-inf"), 0
-                for start in range(max(0, i + 1 - longest), i + 1):
-                    score = scores.get(word[start : i + 1])
-                    at, add = path[start], 1
-                    if score is None:
-                        if start < i:
-                            continue
-                        score, add = self.pieces.unknown, len(c.encode())
-                    if best[at] + score > top:
-                        top, n = best[at] + score, count[at] + add
+                at = path[-1]
+                score = endings.get(c)
+                if score is None:
+                    top, n = best[at] + self.pieces.unknown, count[at] + len(c.encode())
+                else:
+                    top, n = best[at] + score, count[at] + 1
+                start = end - 2
+                while start >= 0:
+                    score = endings.get(word[start:end], missing)
+                    if score is missing:
+                        break
+                    if score is not None:
+                        at = path[start]
+                        score += best[at]
+                        if score >= top:
+                            top, n = score, count[at] + 1
+                    start -= 1
                 best.append(top)
                 count.append(n)
             path.append(node)
@@ -126,7 +149,7 @@ class Trie:
         """Tokens and pre-tokens of a whole text."""
         if not text:
             return 0, 0
-        total, words, known, at = 0, 0, self.terminal, 0
+        total, words, known = 0, 0, self.terminal
         text = " " + text
         for m in PRE_TOKEN.finditer(text) if len(text) > 1 << 20 else (None,):
             found = PRE_TOKEN.findall(text) if m is None else [m.group()]

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The corpus is cut into blocks of documents; a block's distinct pre-tokens are numbered. Over all
-blocks the distinct pre-tokens explode into their substrings up to the longest piece, an
-equi-join with the piece table leaves the lattice's edges, and a fold over each word's edges
-(Spark's higher-order ``aggregate``) finds its best path. Codes then go back to the blocks by
-number, where the documents are put together. Documents travel once, compressed by block.
+The corpus is cut into blocks of documents; a block's distinct words (pre-tokens, cut again where
+no piece crosses) are numbered. Over all blocks the distinct words explode into their substrings
+up to the longest piece, an equi-join with the piece table leaves the lattice's edges, and a fold
+over each word's edges (Spark's higher-order ``aggregate``) finds its best path. Codes then go
+back to the blocks by number, where the documents are put together. Documents travel once,
+compressed by block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from lateview.llm.pieces import MODEL, PRE_TOKEN, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 24 << 20
-#: Longer pre-tokens are folded where documents are put together: a fold's state grows with the word.
+#: Longer words are folded where documents are put together: a fold's state grows with the word.
 LATTICE_LENGTH = 128
 
 
@@ -75,8 +76,27 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.select("word", F.expr(f"unhex(aggregate(edges, {start}, {step}).code)").alias("code"))
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``block, packed, words``: the ids and texts of a block of rows, and its pre-tokens in order of appearance."""
+class _Words:
+    """The distinct words of a block, numbered in order of appearance."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.parts: dict[str, list[int]] = {}  # of each pre-token
+        self.numbers: dict[str, int] = {}
+
+    def read(self, text: str) -> list[list[int]]:
+        """The words of a text by number, pre-token by pre-token."""
+        out, parts, numbers = [], self.parts, self.numbers
+        for token in PRE_TOKEN.findall(" " + text):
+            found = parts.get(token)
+            if found is None:
+                found = parts[token] = [numbers.setdefault(w, len(numbers)) for w in self.pieces.cut(token)]
+            out.append(found)
+        return out
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces) -> DataFrame:
+    """``block, packed, words``: the ids and texts of a block of rows, and its words in order of appearance."""
     id_type = docs.schema[id_col].dataType.simpleString()
     if id_type not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("ids must be integers")
@@ -85,10 +105,10 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
         part, n = TaskContext.get().partitionId(), 0
         for held in _gathered(slices(batches, 1), BLOCK_BYTES):
-            words: dict[str, None] = {}
+            words = _Words(pieces)
             for t in held.column("text").to_pylist():
                 if t:
-                    words.update(dict.fromkeys(PRE_TOKEN.findall(" " + t)))
+                    words.read(t)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held.schema) as out:
                 out.write_table(held)
@@ -96,7 +116,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [
                     pa.array([part << 32 | n], pa.int64()),
                     pa.array([squeeze.compress(sink.getvalue())], pa.binary()),
-                    pa.array([list(words)], pa.list_(pa.string())),
+                    pa.array([list(words.numbers)], pa.list_(pa.string())),
                 ],
                 ["block", "packed", "words"],
             )
@@ -127,7 +147,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     table gives no rows.
     """
     pieces = Pieces(model)
-    blocks = _blocks(docs, id_col, text_col)
+    blocks = _blocks(docs, id_col, text_col, pieces)
     words = blocks.select("block", F.posexplode("words").alias("n", "word")).where(F.length("word") <= LATTICE_LENGTH)
     paths = best_paths(words.select("word").distinct(), pieces)
     codes = words.join(paths, "word").select("block", "n", "code")
@@ -140,7 +160,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         out_id, out_ids, out_ok = [], [], []
         for packed in left["packed"]:
             held = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all()
-            known: dict[str, bytes] = {}
+            words = _Words(pieces)
+            spelt: list[bytes] = []  # by number
+            codes_of: dict[int, bytes] = {}  # by the list that a pre-token's parts are
             for doc, t in zip(held["doc_id"].to_pylist(), held["text"].to_pylist()):
                 out_id.append(doc)
                 if not t:
@@ -148,12 +170,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     out_ok.append(True)
                     continue
                 found = []
-                for w in PRE_TOKEN.findall(" " + t):
-                    code = known.get(w)
+                parts = words.read(t)
+                if len(words.numbers) > len(spelt):
+                    fresh = list(words.numbers)[len(spelt) :]
+                    for w in fresh:
+                        n = len(spelt)
+                        code = by_number[n] if n < len(by_number) else None
+                        spelt.append(_packed(pieces.encode_word(w)) if code is None else code)
+                for part in parts:
+                    code = codes_of.get(id(part))
                     if code is None:
-                        n = len(known)
-                        code = by_number[n] if n < len(by_number) and by_number[n] is not None else _packed(pieces.encode_word(w))
-                        known[w] = code
+                        code = codes_of[id(part)] = b"".join([spelt[n] for n in part])
                     found.append(code)
                 ids = b"".join(found)
                 out_ids.append(ids)
