@@ -19,61 +19,81 @@ from lateview.llm.common import table
 
 #: Rows and queries of a block; projections; share of windows that a vector must lie in; step of the radius.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-LINES, SHARE, STEP = 64, 0.5, 1.25
+LINES, SHARE, STEP = 64, 0.5, 1.4
 
 
 class Block:
     """The sorted projections of one block of vectors."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 5) -> None:
-        lines = np.random.default_rng(seed).normal(size=(LINES, vectors.shape[1]))
+        rng = np.random.default_rng(seed)
+        lines = rng.normal(size=(LINES, vectors.shape[1]))
+        self.lines = lines / np.linalg.norm(lines, axis=1, keepdims=True)
         self.vectors = vectors
-        self.lines = lines / np.linalg.norm(lines, axis=1, keepdims=True) * np.sqrt(vectors.shape[1])
-        place = vectors @ self.lines.T / np.sqrt(vectors.shape[1])
+        place = vectors @ self.lines.T
         self.order = np.ascontiguousarray(np.argsort(place, axis=0, kind="stable").T)
         self.sorted = np.ascontiguousarray(np.sort(place, axis=0).T)
-        # a line stretches a distance by a normal factor of this deviation, on average over directions
+        # a line shows a distance times a normal factor of this deviation
         self.stretch = 1 / np.sqrt(vectors.shape[1])
 
-    def search(self, query: np.ndarray, k: int, ids: np.ndarray, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of the k nearest found, ties to the smaller id; ``own`` is left out."""
-        n = len(self.vectors)
-        centre = self.lines @ query / np.sqrt(len(query))
+    def first_radius(self, k: int) -> float:
+        """A radius to begin with: what some of the block's own rows need for their k nearest, less a fifth."""
+        some = self.vectors[:: max(1, len(self.vectors) // 16)][:16]
+        apart = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (self.vectors**2).sum(1) - 2 * some @ self.vectors.T, 0))
+        near = np.partition(apart, min(k, len(self.vectors) - 1), axis=1)[:, min(k, len(self.vectors) - 1)]
+        return 0.8 * float(np.median(near))
+
+    def search(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the positions and distances of the k nearest found, ties to the smaller id; ``own`` is left out (-1: none)."""
+        n, m = len(self.vectors), len(queries)
+        centre = np.ascontiguousarray(self.lines @ queries.T)
         need = int(np.ceil(SHARE * LINES))
-        count = np.zeros(n, np.int32)
-        seen = np.zeros(n, bool)
-        found, gone = np.zeros(0, np.int64), np.zeros(0)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
+        widest = np.abs(self.sorted[:, [0, -1]][:, :, None] - centre[:, None, :]).max(axis=(0, 1))
+        low = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
         high = low.copy()
-        # the first radius is that of the nearest few projections on a line
-        near = np.minimum(np.maximum(low, 1), n - 1)
-        gap = np.median(np.minimum(np.abs(self.sorted[np.arange(LINES), near] - centre), np.abs(self.sorted[np.arange(LINES), near - 1] - centre)))
-        widest = max(float(np.abs(self.sorted[:, [0, -1]] - centre[:, None]).max()), 1e-300)
-        radius = max(float(gap) * n**0.5 / 8, widest / 256) / self.stretch
-        while True:
-            half = radius * self.stretch
-            new_low = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre)])
-            new_high = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre)])
-            fresh = [o[a:b] for o, a, b in zip(self.order, new_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, new_high)]
-            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
-            count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            hit = np.flatnonzero((count >= need) & ~seen)
-            seen[hit] = True
-            hit = hit[hit != own]
-            if len(hit):
-                d = np.sqrt(((self.vectors[hit] - query) ** 2).sum(axis=1))
-                found, gone = np.concatenate([found, hit]), np.concatenate([gone, d])
-                if len(found) > k:
-                    most = np.partition(gone, k - 1)[k - 1]
-                    keep = gone <= most
-                    found, gone = found[keep], gone[keep]
-                    if len(found) > k:
-                        best = np.lexsort((ids[found], gone))[:k]
-                        found, gone = found[best], gone[best]
-            if (len(found) >= k and gone.max() <= radius) or half > widest:
-                best = np.lexsort((ids[found], gone))[:k]
-                return found[best], gone[best]
-            radius *= STEP
+        count = [np.zeros(n, np.int16) for _ in range(m)]
+        found = [np.zeros(0, np.int64)] * m
+        gone = [np.zeros(0)] * m
+        radius = np.full(m, max(self.first_radius(k), float(widest.max(initial=1e-300)) / 256))
+        left = np.arange(m)
+        while len(left):
+            half = radius[left] * self.stretch
+            to_low = np.stack([np.searchsorted(s, c[left] - half, "left") for s, c in zip(self.sorted, centre)])
+            to_high = np.stack([np.searchsorted(s, c[left] + half, "right") for s, c in zip(self.sorted, centre)])
+            to_low, to_high = np.minimum(to_low, low[:, left]), np.maximum(to_high, high[:, left])
+            on = []
+            for i, q in enumerate(left.tolist()):
+                fresh = [o[a:b] for o, a, b in zip(self.order, to_low[:, i].tolist(), low[:, q].tolist()) if a < b]
+                fresh += [o[a:b] for o, a, b in zip(self.order, high[:, q].tolist(), to_high[:, i].tolist()) if a < b]
+                if fresh:
+                    was = count[q] >= need
+                    count[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                    hit = np.flatnonzero((count[q] >= need) & ~was)
+                    hit = hit[hit != own[q]]
+                    found[q], gone[q] = self._best(queries[q], k, ids, found[q], gone[q], hit)
+                if half[i] <= widest[q]:
+                    if len(found[q]) < k:
+                        radius[q] *= STEP
+                        on.append(q)
+                    elif gone[q][-1] > radius[q]:  # the last windows: those of the k-th distance itself
+                        radius[q] = gone[q][-1]
+                        on.append(q)
+            low[:, left], high[:, left] = to_low, to_high
+            left = np.array(on, np.int64)
+        return list(zip(found, gone))
+
+    def _best(self, query: np.ndarray, k: int, ids: np.ndarray, found: np.ndarray, gone: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of what was found and what ``hit`` turns out to be, by true distance and then id."""
+        d = np.sqrt(((self.vectors[hit] - query) ** 2).sum(axis=1))
+        if len(found) == k:
+            near = d <= gone[-1]
+            hit, d = hit[near], d[near]
+        found, gone = np.concatenate([found, hit]), np.concatenate([gone, d])
+        if len(found) > k:
+            near = gone <= np.partition(gone, k - 1)[k - 1]
+            found, gone = found[near], gone[near]
+        best = np.lexsort((ids[found], gone))[:k]
+        return found[best], gone[best]
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -110,8 +130,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
             ids, where = left["id"].to_numpy(), left["row"].to_numpy()
             at = {r: i for i, r in enumerate(where.tolist())}
             block = Block(matrix(left))
-            for q, row, v in zip(right["id"].to_pylist(), right["row"].to_pylist(), matrix(right)):
-                found, score = block.search(v, k, ids, at.get(row, -1))
+            rows, asked = right["row"].to_pylist(), right["id"].to_pylist()
+            own = np.array([at.get(r, -1) for r in rows])
+            for row, q, (found, score) in zip(rows, asked, block.search(matrix(right), k, ids, own)):
                 out[0] += [row] * len(found)
                 out[1] += [q] * len(found)
                 out[2] += ids[found].tolist()
