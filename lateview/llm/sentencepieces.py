@@ -10,6 +10,8 @@ compressed by block.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,10 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``word, code`` from distinct ``word``: the best path's ids, two bytes each, as binary."""
-    cut = F.expr(
-        "flatten(transform(sequence(1, length(word)), s -> transform("
-        f"sequence(s, least(length(word), s + {pieces.longest - 1})), "
-        "e -> named_struct('end', e, 'start', s, 'piece', substr(word, s, e - s + 1)))))"
-    )
-    cuts = words.select("word", F.explode(cut).alias("c")).select("word", "c.end", "c.start", "c.piece")
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    ends = F.sequence("start", F.least(F.length("word"), F.col("start") + F.lit(pieces.longest - 1)))
+    cuts = starts.select("word", "start", F.explode(ends).alias("end"))
+    cuts = cuts.select("word", "end", "start", F.substr("word", "start", F.col("end") - F.col("start") + 1).alias("piece"))
     vocabulary = F.broadcast(piece_table(words.sparkSession, pieces))  # bounded by the vocabulary
     edges = cuts.join(vocabulary, "piece", "left").where("code is not null or end = start")
     base = pieces.byte_ids[0]
@@ -95,35 +95,46 @@ class _Words:
         return out
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces) -> DataFrame:
-    """``block, packed, words``: the ids and texts of a block of rows, and its words in order of appearance."""
+def _blocks(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces | None) -> DataFrame:
+    """The blocks of ``docs``: ``block, words`` in order of appearance, or without ``pieces`` ``block, packed``.
+
+    Both come from the same scan in the same order, so a block has one number in either.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     if id_type not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("ids must be integers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        part, n = TaskContext.get().partitionId(), 0
-        for held in _gathered(slices(batches, 1), BLOCK_BYTES):
-            words = _Words(pieces)
-            for t in held.column("text").to_pylist():
-                if t:
-                    words.read(t)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held.schema) as out:
-                out.write_table(held)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part << 32 | n], pa.int64()),
-                    pa.array([squeeze.compress(sink.getvalue())], pa.binary()),
-                    pa.array([list(words.numbers)], pa.list_(pa.string())),
-                ],
-                ["block", "packed", "words"],
-            )
-            n += 1
+        part = TaskContext.get().partitionId()
+        for n, held in enumerate(_gathered(slices(batches, 1), BLOCK_BYTES)):
+            block = pa.array([part << 32 | n], pa.int64())
+            if pieces:
+                words = _Words(pieces)
+                with _no_collection():
+                    for t in held.column("text").to_pylist():
+                        if t:
+                            words.read(t)
+                values = pa.array([list(words.numbers)], pa.list_(pa.string()))
+            else:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held.schema) as out:
+                    out.write_table(held)
+                values = pa.array([squeeze.compress(sink.getvalue())], pa.binary())
+            yield pa.RecordBatch.from_arrays([block, values], ["block", "words" if pieces else "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "block long, packed binary, words array<string>")
+    return rows.mapInArrow(run, "block long, " + ("words array<string>" if pieces else "packed binary"))
+
+
+@contextlib.contextmanager
+def _no_collection() -> Iterator[None]:
+    """Without the cyclic collector, which would walk a block's many small lists again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -147,8 +158,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     table gives no rows.
     """
     pieces = Pieces(model)
-    blocks = _blocks(docs, id_col, text_col, pieces)
-    words = blocks.select("block", F.posexplode("words").alias("n", "word")).where(F.length("word") <= LATTICE_LENGTH)
+    words = _blocks(docs, id_col, text_col, pieces).select("block", F.posexplode("words").alias("n", "word")).where(F.length("word") <= LATTICE_LENGTH)
     paths = best_paths(words.select("word").distinct(), pieces)
     codes = words.join(paths, "word").select("block", "n", "code")
 
@@ -163,7 +173,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             words = _Words(pieces)
             spelt: list[bytes] = []  # by number
             codes_of: dict[int, bytes] = {}  # by the list that a pre-token's parts are
-            for doc, t in zip(held["doc_id"].to_pylist(), held["text"].to_pylist()):
+            rows = list(zip(held["doc_id"].to_pylist(), held["text"].to_pylist()))
+            gc.disable()
+            for doc, t in rows:
                 out_id.append(doc)
                 if not t:
                     out_ids.append(None if t is None else b"")
@@ -185,13 +197,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 ids = b"".join(found)
                 out_ids.append(ids)
                 out_ok.append(pieces.decode(np.frombuffer(ids, ">u2").tolist()) == t)
+            gc.enable()
         flat = np.frombuffer(b"".join(x or b"" for x in out_ids), ">u2").astype(np.int32)
         offsets = np.cumsum([0, *(len(x or b"") // 2 for x in out_ids)]).astype(np.int32)
         nulls = pa.array([x is None for x in out_ids], pa.bool_())
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=nulls)
         return pa.table([pa.array(out_id, pa.int64()), ids, pa.array(out_ok, pa.bool_())], ["doc_id", "ids", "decoded_ok"])
 
-    left = blocks.select(F.col("block").alias("b"), "packed").groupBy("b")
+    left = _blocks(docs, id_col, text_col, None).select(F.col("block").alias("b"), "packed").groupBy("b")
     return left.cogroup(codes.groupBy("block")).applyInArrow(put_together, "doc_id long, ids array<int>, decoded_ok boolean")
 
 
