@@ -299,7 +299,7 @@ def _shingles(text: bytes | None, words: int) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``node, root`` for every text that has a near-duplicate: node is ``xxhash64(text)``.
+    """``node, root`` for texts with near-duplicates, but for roots themselves: node is ``xxhash64(text)``.
 
     Near-duplicates share at least ``threshold`` of their distinct ``words``-word shingles
     (Jaccard). Candidates are texts whose SimHash over distinct words differs in at most two of
@@ -364,7 +364,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = keyed.select("_id", F.xxhash64("_text").alias("_near"), _node("_text").alias("_node"))
     roots = near_duplicates(keyed, "_text")
     rows = rows.join(roots, rows._near == roots.node, "left")
-    group = F.when(F.col("root").isNull(), F.col("_node")).otherwise(F.col("root"))
+    group = F.coalesce("root", "_near")
     best = rows.select("_id", "_node", group.alias("_group")).groupBy("_group").agg(
         F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))).alias("_w")
     )
