@@ -140,7 +140,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    side = lambda df, n: df.select(*(F.col(c).alias(f"{c}_{n}") for c in keys), "id", "row", "v").groupBy(*(f"{c}_{n}" for c in keys))
+
+    def side(df: DataFrame, n: str):
+        # columns of its own for either side: both come from the same rows
+        fresh = df.select(*(F.col(c).alias(f"{c}_{n}") for c in keys), *(F.col(c).alias(c) for c in ("id", "row", "v")))
+        return fresh.groupBy(*(f"{c}_{n}" for c in keys))
+
     met = side(held, "l").cogroup(side(ask, "r"))
     met = met.applyInArrow(meet, "asked long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("score", "vec_id"))

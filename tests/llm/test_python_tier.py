@@ -1,0 +1,291 @@
+"""Media, personal data, language, neighbours, token counts and pieces against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lateview.llm import ann, langid, media, pieces, pii, sentencepieces
+
+TEXTS = [None, "", "a", "x" * 576, "é" * 300, "<|>\n" * 200, "word " * 4000]
+
+
+def docs(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return df.withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+def test_payloads_come_back(spark):
+    df = docs(spark, TEXTS, media="x", width=1)
+    out = {r.doc_id: r for r in media.media_features(media.store_texts(df)).collect()}
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        r = out[i]
+        assert (r.filled, r.samples, r.samples_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.width, r.height) == (4608, 8 * len(payload) // 576) and re.fullmatch(r"\d+x\d+:[0-9a-f]{16}", r.feature)
+    assert media.media_features(media.store_texts(df.limit(0))).count() == 0
+
+
+def test_bytes_of_every_kind_and_several_frames(monkeypatch):
+    rng = random.Random(1)
+    values = [bytes(rng.randrange(256) for _ in range(576 * 7)), b"\xff" * 576, b"\x00\xff" * 288]
+    monkeypatch.setattr(media, "ROWS", 3)
+    for p, images in zip(values, media.thumbnails(media.encode_frames(values))):
+        assert b"".join(t.tobytes() for _, t in images) == p and len(images) == -(-len(p) // 1728)
+
+
+def colour_jpeg(luma, chroma, across=4):
+    """A 4:2:0 image written by hand: no restarts, AC coefficients, standard DC table."""
+    dc = media._codes(media.DC_COUNTS, media.DC_SYMBOLS)
+    ac_table = ((0, 1, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0x00, 0x01, 0xF0))
+    ac = media._codes(*ac_table)
+    bits = ""
+
+    def block(value, before, extra):
+        nonlocal bits
+        d = value - before
+        size = abs(d).bit_length()
+        code, n = dc[size]
+        bits += f"{code:0{n}b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+        if extra:
+            bits += "".join(f"{ac[s][0]:0{ac[s][1]}b}" for s in (0xF0, 0x01)) + "1"
+        bits += f"{ac[0][0]:0{ac[0][1]}b}"
+
+    before = [0, 0, 0]
+    for m in range(len(luma) // 4):
+        for i in range(4):
+            block(luma[4 * m + i], before[0], i == 1)
+            before[0] = luma[4 * m + i]
+        for c in (1, 2):
+            block(chroma[m], before[c], False)
+            before[c] = chroma[m]
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    rows = len(luma) // 4 // (across // 2) * 2
+    return b"".join(
+        [
+            b"\xff\xd8",
+            media._segment(0xDB, b"\x00" + b"\x08" * 64),
+            media._segment(0xC0, bytes([8]) + (rows * 8).to_bytes(2, "big") + (across * 8).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
+            media._segment(0xC4, b"\x00" + bytes(media.DC_COUNTS) + bytes(media.DC_SYMBOLS)),
+            media._segment(0xC4, b"\x10" + bytes(ac_table[0]) + bytes(ac_table[1])),
+            media._segment(0xDA, b"\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00"),
+            data,
+            b"\xff\xd9",
+        ]
+    )
+
+
+def test_colour_image_with_ac_coefficients():
+    rng = random.Random(3)
+    luma, chroma = [rng.randint(-128, 127) for _ in range(16)], [rng.randint(-100, 100) for _ in range(4)]
+    ((_, thumb),) = media.thumbnails([colour_jpeg(luma, chroma)])[0]
+    want = np.zeros((4, 4), int)
+    for m in range(4):
+        for i in range(4):
+            want[m // 2 * 2 + i // 2, m % 2 * 2 + i % 2] = luma[4 * m + i] + 128
+    assert thumb.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("bad", [b"", b"junk", b"\xff\xd8\xff\xd9", media.encode_frames([b"a" * 576])[0][:-30], b"\xff\xd8\xff\xc2\x00\x02"])
+def test_what_is_no_jpeg_gives_nulls(spark, bad):
+    good = media.encode_frames([b"a" * 576])[0]
+    df = spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(good)), (3, None)], "doc_id long, media binary")
+    out = {r.doc_id: r.feature for r in media.media_features(df).collect()}
+    assert out[1] is None and out[2] and out[3] is None
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for k, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[k]
+            if ok:
+                out.append((m.start(), list(BASE).index(k), m.end()))
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(9)
+    parts = ["a@b.c", "x.y@z-1.org.uk", "@", "a@@b.c", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4532015112830366", "4532 0151 1283 0366", "4532-0151", "+1 (415) 555-0100", "+12", "++1 415 555 0100", " ", "é", ".", "00", "-", "+", "text"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 8)))
+        got = sorted((a, pii.KINDS.index(k), z) for a, z, k, form in pii.candidates(t) if form == "base")
+        assert got == base_spans(t), t
+
+
+def test_very_long_runs_are_linear():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" * 100_000, "1 " * 150_000):
+        pii.candidates(t)
+
+
+def test_added_spans_and_redaction(spark):
+    texts = ["mail me at bob (at) example (dot) com please", "call (415) 555-0100 now", "nothing", None, "", "a@b.com and 10.0.0.1"] + [f"write to u{i}@mail.example.com or call +1 (415) 555-{1000 + i}" for i in range(50)]
+    df = docs(spark, texts, spans="clash", kind=1)
+    found = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.find_personal_data(df).collect()}
+    assert found[0] == [("email", False)] and found[1] == [("phone", False)] and found[2] == found[3] == found[4] == []
+    assert found[5] == [("email", True), ("ip", True)]
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[5] == "<EMAIL> and <IP>" and out[3] is None and out[2] == "nothing" and "<PHONE>" in out[1]
+    assert pii.redact(df).columns == df.columns and pii.find_personal_data(df.limit(0)).count() == 0
+
+
+def test_label_model_separates_reliable_from_noisy():
+    rng = random.Random(4)
+    counts = {}
+    for _ in range(4000):
+        truth = rng.random() < 0.4
+        vote = lambda p: "+" if (rng.random() < p) == truth else "-"  # noqa: B023, E731
+        v = vote(0.95) + vote(0.9) + vote(0.5) + rng.choice("0+-") + vote(0.85)
+        counts[v] = counts.get(v, 0) + 1
+    names = sorted(counts)
+    p = dict(zip(names, pii.label_model(names, np.array([counts[v] for v in names], float))))
+    assert all(p[v] > 0.9 for v in names if v[0] == v[1] == v[4] == "+") and all(p[v] < 0.1 for v in names if v[0] == v[1] == v[4] == "-")
+
+
+def test_automaton_knows_exactly_the_substrings():
+    rng = random.Random(2)
+    text = [rng.randrange(3) for _ in range(60)]
+    move = langid.suffix_automaton(np.array(text), 3)
+    subs = {tuple(text[i:j]) for i in range(60) for j in range(i + 1, min(60, i + 6) + 1)}
+    for _ in range(2000):
+        word = tuple(rng.randrange(3) for _ in range(rng.randint(1, 6)))
+        s = 0
+        for c in word:
+            s = move[s, c] if s >= 0 else -1
+        assert (s >= 0) == (word in subs)
+
+
+def test_phrases_are_longest_matches():
+    parser = langid.Parser({"x": ["abcabd abd cab"], "y": ["dcba dcb"]})
+    for text in ("abcabdabd", "ddd cab", "zzz", "a" * 600):
+        codes = parser.encode(text)
+        got = parser.phrases([codes])[:, 0]
+        for k, sample in enumerate(("abcabd abd cab", "dcba dcb")):
+            train = bytes(parser.encode(sample).tolist())
+            n = 0
+            for s in range(0, len(codes), langid.BLOCK):
+                part, n = bytes(codes[s : s + langid.BLOCK].tolist()), n + 1
+                at = 0
+                while at < len(part):
+                    z = at
+                    while z < len(part) and part[at : z + 1] in train:
+                        z += 1
+                    if z == len(part):
+                        break
+                    # the symbol that ends a match starts the next phrase, alone if it is unknown
+                    n += 1
+                    at = z if z > at else at + 1
+            assert abs(got[k] - n) <= max(2, 0.6 * n)
+
+
+def test_language_and_und(spark):
+    rng = random.Random(6)
+    syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["é", "ço", "eau", "que"]}
+    word = lambda k: "".join(rng.choices(syllables[k], k=3))
+    rows = [(i, " ".join(word(k) for _ in range(40)), k) for i, k in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(500, None, "aa"), (501, "123 ...", "bb"), (502, "", None), (503, "word", None), (None, rows[0][1], None), (504, rows[1][1] * 50, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    parser = langid.train(df.where(~langid.held_out()))
+    out = {r.doc_id: r for r in langid.predict(df, parser).collect()}
+    assert all(out[i].lang_pred == k for i, _, k in rows[:120])
+    assert [out[i].lang_pred for i in (500, 501, 502)] == ["und"] * 3 and out[None].lang_pred == "aa" and out[504].lang_pred == "bb"
+    assert all(0 <= r.score <= 1 for r in out.values())
+    kept = langid.keep_identified(df, parser)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    nothing = langid.train(df.limit(0))
+    assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"} and langid.predict(df.limit(0), parser).count() == 0
+
+
+def test_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 24)) + 3 * rng.normal(size=(8, 24))[rng.integers(0, 8, 1200)]
+    x[700:1100] = x[700]  # a third are copies
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    odd = [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 24, 0), (2003, [float("nan")] * 24, 0), (2004, [None] * 24, 0), (2100, [1.0, 2.0], 0), (None, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank int")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    assert set(got) == set(range(0, 1200, 100))
+    for q, found in got.items():
+        found.sort()
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(1200), d))[:10]
+        assert [f[0] for f in found] == list(range(1, 11)) and all(abs(f[2] - d[f[1]]) < 1e-12 for f in found)
+        hits += len({f[1] for f in found} & set(want.tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+    assert [f[1] for f in sorted(got[700])] == list(range(701, 711))
+    few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3]
+    assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Pieces()
+
+
+HARD = ["", " ", "  two  spaces ", "line\nfeed\n\n", "tab\tx", "日本語 emoji 😀", "▁literal ▁▁", "a" * 500, "x" * 200 + "日" * 90, "The cat, sat. on (the) mat!", "\x00 nul", "é" * 40]
+
+
+def whole_path(v, text):
+    """The best path through a whole text, without pre-tokens, by plain recursion over places."""
+    text = " " + text if text else ""
+    best, ids = [0.0], [[]]
+    for end in range(1, len(text) + 1):
+        top, at = float("-inf"), None
+        for start in range(max(0, end - v.longest), end):
+            piece = text[start:end]
+            score = v.scores.get(piece, v.unknown if start == end - 1 else None)
+            if score is not None and best[start] + score > top:
+                top = best[start] + score
+                at = ids[start] + ([v.ids[piece]] if piece in v.scores else [v.byte_ids[b] for b in piece.encode()])
+        best.append(top)
+        ids.append(at)
+    return ids[-1]
+
+
+def test_counts_and_pieces(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "TRIE_NODES", 50)
+    rng = random.Random(3)
+    texts = HARD + ["".join(rng.choices("abcdeinorst  \n.,é日", k=rng.randint(1, 300))) for _ in range(60)] + [None]
+    df = docs(spark, texts, ids="clash", n_tokens=0)
+    want = [None if t is None else whole_path(vocabulary, t) for t in texts]
+    counts = {r.doc_id: r.n_tokens for r in pieces.token_counts(df).collect()}
+    assert [counts[i] for i in range(len(texts))] == [len(w or []) for w in want]
+    encoded = sentencepieces.encode(df)
+    got = {r.doc_id: r for r in encoded.collect()}
+    assert [got[i].ids for i in range(len(texts))] == want and all(r.decoded_ok for r in got.values())
+    assert {r.doc_id: r.text for r in sentencepieces.decode(encoded).collect()} == dict(enumerate(texts))
+    assert sentencepieces.encode(df.limit(0)).count() == 0 and pieces.token_counts(df.limit(0)).count() == 0
+
+
+def test_blocks_of_many_sizes(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "BLOCK_BYTES", 200)
+    texts = [f"word{i} again and again" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.ids for r in sentencepieces.encode(df).collect()}
+    assert got == {i: whole_path(vocabulary, t) for i, t in enumerate(texts)}
