@@ -20,6 +20,8 @@ from lateview.llm.common import connected_components, slices, table, write_share
 
 #: Shingles hashed at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 16
+#: Bytes of text that a task holds as Python objects at once.
+SLICE = 1 << 20
 #: Members of a bucket that are compared pair by pair; larger buckets are linked through their structure.
 SMALL = 16
 
@@ -51,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, fp`` for every row; null and empty texts have fingerprint 0. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, SLICE):
             fp = pa.array([fingerprint(t.as_py(), words) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
@@ -290,12 +292,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shingles(text: bytes | None, words: int) -> list[int]:
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct word shingles of a text, as sorted hashes."""
     found = (text or b"").lower().split()
     if not found:
-        return []
+        return np.zeros(0, np.int64)
     grams = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) > words else [b" ".join(found)]
-    return sorted({_signed(xxhash.xxh64_intdigest(g, 42)) for g in grams})
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64).view(np.int64))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -310,7 +313,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, thr
     """
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, SLICE):
             fp = [_word_codes(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.list_(pa.int64()))], ["node", "codes"])
 
@@ -334,8 +337,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, thr
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            s = pa.array([_shingles(t.as_py(), words) for t in b.column(1)], pa.list_(pa.int64()))
+        for b in slices(batches, 1, SLICE):
+            found = [_shingles(t.as_py(), words) for t in b.column(1)]
+            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            s = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([b.column(0), s], ["node", "s"])
 
     texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
@@ -357,27 +362,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, thr
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal or near-equal texts: that of the smallest id.
 
-    Columns stay as they are. Null and empty texts are groups of their own kind: null equals
-    null, empty equals empty. A null id counts as larger than any; of repeated rows one stays.
+    Columns stay as they are. Null equals null and empty equals empty. A null id counts as larger
+    than any; of repeated rows one stays. Rows are told apart by their place in the table, so
+    ``docs`` must be one that reads back in the same order, as any written table does.
+    The texts of the table are shuffled once, and neither sorted nor aggregated.
     """
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = keyed.select("_id", F.xxhash64("_text").alias("_near"), _node("_text").alias("_node"))
-    roots = near_duplicates(keyed, "_text")
-    rows = rows.join(roots, rows._near == roots.node, "left")
-    group = F.coalesce("root", "_near")
-    best = rows.select("_id", "_node", group.alias("_group")).groupBy("_group").agg(
-        F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))).alias("_w")
-    )
-    best = best.select(F.col("_w._id").alias("_id"), F.col("_w._node").alias("_node"))
-    marked = docs.withColumn("_node", _node(text_col))
-    kept = marked.join(
-        best.withColumnRenamed("_node", "_n"),
-        marked[id_col].eqNullSafe(best["_id"]) & (F.col("_node") == F.col("_n")),
-        "left_semi",
-    )
-    return kept.dropDuplicates([id_col, "_node"]).select(*docs.columns)
-
-
-def _node(column: str) -> Column:
-    """A hash of the text that tells null from empty."""
-    return F.xxhash64(F.col(column).isNull(), F.col(column))
+    place = F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("near"), place.alias("place"))
+    roots = near_duplicates(docs, text_col)
+    rows = rows.join(roots, rows.near == roots.node, "left").withColumn("group", F.coalesce("root", "near"))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place"))).alias("w"))
+    best = best.select(F.col("w.place").alias("_kept"))
+    held = {f"_c{i}": c for i, c in enumerate(docs.columns)}
+    marked = docs.select(*(F.col(c).alias(k) for k, c in held.items()), place.alias("_place"))
+    kept = marked.join(best.hint("shuffle_hash"), F.col("_place") == F.col("_kept"), "left_semi")
+    return kept.select(*(F.col(k).alias(c) for k, c in held.items()))
