@@ -25,7 +25,7 @@ from lateview.llm.common import slices, table
 from lateview.llm.pieces import MODEL, PRE_TOKEN, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Longer words are folded where documents are put together: a fold's state grows with the word.
 LATTICE_LENGTH = 128
 
@@ -77,21 +77,59 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Words:
-    """The distinct words of a block, numbered in order of appearance."""
+    """The distinct words of a block, numbered in order of appearance.
 
-    def __init__(self, pieces: Pieces) -> None:
+    codes: by number, what is known of a word's code; a pre-token is then held as its code.
+    Without codes it is held as nothing, and only the words are gathered.
+    """
+
+    def __init__(self, pieces: Pieces, codes: list[bytes | None] | None = None) -> None:
         self.pieces = pieces
-        self.parts: dict[str, list[int]] = {}  # of each pre-token
+        self.codes = codes
         self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+        # by pre-token; those that begin with one space go without it
+        self.spaced: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {"": b""}
+
+    def _words(self, token: str) -> bytes:
+        out, numbers, codes = b"", self.numbers, self.codes
+        for w in self.pieces.cut(token):
+            n = numbers.setdefault(w, len(numbers))
+            if n == len(self.names):
+                self.names.append(w)
+                if codes is not None and (n >= len(codes) or codes[n] is None):
+                    codes += [None] * (n + 1 - len(codes))
+                    codes[n] = _packed(self.pieces.encode_word(w))
+            if codes is not None:
+                out += codes[n]
+        return out
 
-    def read(self, text: str) -> list[list[int]]:
-        """The words of a text by number, pre-token by pre-token."""
-        out, parts, numbers = [], self.parts, self.numbers
-        for token in PRE_TOKEN.findall(" " + text):
-            found = parts.get(token)
-            if found is None:
-                found = parts[token] = [numbers.setdefault(w, len(numbers)) for w in self.pieces.cut(token)]
-            out.append(found)
+    def read(self, text: str) -> list[bytes]:
+        """A text's pre-tokens, as ``PRE_TOKEN`` cuts it, by their codes."""
+        spaced, other, out = self.spaced, self.other, []
+        if "  " in text or text[0] == " " or "\n " in text:  # runs of spaces are rare
+            for token in PRE_TOKEN.findall(" " + text):
+                if token not in other:
+                    other[token] = self._words(token)
+                out.append(other[token])
+            return out
+        for i, line in enumerate(text.split("\n")):
+            tokens = line.split(" ")
+            if i:
+                if "\n" not in other:
+                    other["\n"] = self._words("\n")
+                out.append(other["\n"])
+                first = tokens[0]
+                if first not in other:
+                    other[first] = self._words(first)
+                out.append(other[first])
+                del tokens[0]
+            for token in tokens:
+                found = spaced.get(token)
+                if found is None:
+                    found = spaced[token] = self._words(" " + token)
+                out.append(found)
         return out
 
 
@@ -115,7 +153,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces | None)
                     for t in held.column("text").to_pylist():
                         if t:
                             words.read(t)
-                values = pa.array([list(words.numbers)], pa.list_(pa.string()))
+                values = pa.array([words.names], pa.list_(pa.string()))
             else:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, held.schema) as out:
@@ -159,7 +197,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     pieces = Pieces(model)
     words = _blocks(docs, id_col, text_col, pieces).select("block", F.posexplode("words").alias("n", "word")).where(F.length("word") <= LATTICE_LENGTH)
-    paths = best_paths(words.select("word").distinct(), pieces)
+    words = words.repartition("word")
+    # counting with every column keeps both uses of `words` on one shuffle, and the texts are read once for it
+    distinct = words.groupBy("word").agg(F.max("block").alias("block"), F.max("n").alias("n"))
+    paths = best_paths(distinct.where("block >= 0 and n >= 0").select("word"), pieces)
     codes = words.join(paths, "word").select("block", "n", "code")
 
     def put_together(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -170,9 +211,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         out_id, out_ids, out_ok = [], [], []
         for packed in left["packed"]:
             held = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all()
-            words = _Words(pieces)
-            spelt: list[bytes] = []  # by number
-            codes_of: dict[int, bytes] = {}  # by the list that a pre-token's parts are
+            words = _Words(pieces, by_number)
             rows = list(zip(held["doc_id"].to_pylist(), held["text"].to_pylist()))
             gc.disable()
             for doc, t in rows:
@@ -181,20 +220,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     out_ids.append(None if t is None else b"")
                     out_ok.append(True)
                     continue
-                found = []
-                parts = words.read(t)
-                if len(words.numbers) > len(spelt):
-                    fresh = list(words.numbers)[len(spelt) :]
-                    for w in fresh:
-                        n = len(spelt)
-                        code = by_number[n] if n < len(by_number) else None
-                        spelt.append(_packed(pieces.encode_word(w)) if code is None else code)
-                for part in parts:
-                    code = codes_of.get(id(part))
-                    if code is None:
-                        code = codes_of[id(part)] = b"".join([spelt[n] for n in part])
-                    found.append(code)
-                ids = b"".join(found)
+                ids = b"".join(words.read(t))
                 out_ids.append(ids)
                 out_ok.append(pieces.decode(np.frombuffer(ids, ">u2").tolist()) == t)
             gc.enable()
