@@ -25,7 +25,7 @@ from lateview.llm.common import slices, table
 from lateview.llm.pieces import MODEL, PRE_TOKEN, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Longer words are folded where documents are put together: a fold's state grows with the word.
 LATTICE_LENGTH = 128
 
