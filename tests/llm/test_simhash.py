@@ -156,3 +156,43 @@ def test_near_duplicates_go_and_the_rest_stays(spark):
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == keep | {1000, 1001, None}
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def kept_by_brute_force(rows):
+    """Ids that stay of ``id, text`` rows when every pair at 0.8 of five-word shingles is linked."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (k, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(k)
+    return {min(g) for g in groups.values()}
+
+
+def test_copies_near_their_template_alone_go_too(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 20, raising=False)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for g in range(2):
+        template = rng.choices(vocabulary, k=300)
+        rows.append((1000 * g + 500, " ".join(template)))
+        for k in range(60):  # six changes: over 0.8 of the template's shingles, under 0.8 of another copy's
+            near = list(template)
+            for at in rng.sample(range(5, 295), 6):
+                near[at] = rng.choice(vocabulary)
+            rows.append((1000 * g + k, " ".join(near)))
+    want = kept_by_brute_force(rows)
+    assert len(want) < 5
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == want
