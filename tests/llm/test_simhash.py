@@ -196,3 +196,39 @@ def test_copies_near_their_template_alone_go_too(spark, monkeypatch):
     assert len(want) < 5
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == want
+
+
+def test_copies_with_a_passage_more_go_too(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for g in range(60):
+        words = rng.choices(vocabulary, k=rng.choice([8, 60, 300]))
+        rows.append((10 * g, " ".join(words)))
+        for k, share in enumerate((0.05, 0.15, 0.2, 0.24, 0.3)):
+            passage = rng.choices(vocabulary, k=max(1, int(share * len(words))))
+            at = rng.choice([0, len(words), rng.randrange(len(words))])
+            rows.append((10 * g + k + 1, " ".join(words[:at] + passage + words[at:])))
+    want = kept_by_brute_force(rows)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == want
+    fewer = simhash.common_shingles(spark.createDataFrame([(1, b"a b c d e f")] * 3, "node long, text binary"), 5)
+    assert fewer[1].tolist() == [3, 3]
+
+
+def test_crowds_in_an_order_that_puts_the_common_first(spark, monkeypatch):
+    """Any order finds the same pairs: here SimHash proposes nothing, and all buckets are crowds."""
+    rng = random.Random(14)
+    words = lambda k: [f"{rng.randrange(1 << 40):x}" for _ in range(k)]
+    licence, rows = words(100), []
+    for g in range(50):
+        own = words(25)
+        rows += [(2 * g, " ".join(licence + own)), (2 * g + 1, " ".join(licence[g % 9 :] + own + words(2)))]
+    want = kept_by_brute_force(rows)
+    assert len(want) == 50
+    common = simhash.common_shingles
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    monkeypatch.setattr(simhash, "_word_codes", lambda text: [0] * simhash.TABLES)
+    monkeypatch.setattr(simhash, "common_shingles", lambda *a: (lambda s, n: (s, -n))(*common(*a)))
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == want
