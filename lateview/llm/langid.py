@@ -163,13 +163,16 @@ class Parser:
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Automata from a bounded sample of labelled rows.
 
-    Of each language about ``SAMPLE_ROWS`` rows of at most ``ROW_CHARS`` characters are drawn by
-    a hash of the id, at a rate that the language's number of such rows gives; rows without
-    text or language are passed over. There is one automaton a language: their number is taken to
-    be small.
+    Of each language about ``SAMPLE_ROWS`` rows are drawn by a hash of the id, whatever their
+    length, at a rate that the language's number of rows gives; of a row of over ``ROW_CHARS``
+    characters, an excerpt of so many from a place that the hash gives is used. Rows without text or
+    language are passed over. There is one automaton a language: their number is taken to be small.
     """
-    fit = rows.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= ROW_CHARS)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h")
+    h = F.xxhash64(F.col(id_col), F.lit(8))
+    start = 1 + F.pmod(h, F.greatest(F.length(text_col) - ROW_CHARS, F.lit(0)) + 1)
+    excerpt = F.substring(F.col(text_col), start.cast("int"), F.lit(ROW_CHARS))
+    fit = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), excerpt.alias("text"), h.alias("h")
     )
     held = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
     if not held:

@@ -284,3 +284,15 @@ def test_blocks_of_many_sizes(spark, vocabulary, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.ids for r in sentencepieces.encode(df).collect()}
     assert got == {i: whole_path(vocabulary, t) for i, t in enumerate(texts)}
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rng = random.Random(7)
+    text = lambda syllables, n: " ".join("".join(rng.choices(syllables, k=3)) for _ in range(n))
+    rows = [(i, text(["ba", "lo", "mi", "tu"], 40), "aa") for i in range(20)]
+    rows += [(20 + i, text(["sch", "ung", "eit", "ver"], 1500), "bb") for i in range(20)]
+    assert all(len(t) > langid.ROW_CHARS for _, t, k in rows if k == "bb")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.train(df)
+    assert parser.languages == ["aa", "bb"]
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, parser).collect()} == {i: k for i, _, k in rows}
