@@ -202,14 +202,18 @@ def predict(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: s
 
 
 def keep_identified(docs: DataFrame, parser: Parser, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (null, or no letter at all)."""
+    """``docs`` without the rows whose language cannot be told (null, or no letter at all).
+
+    Texts with a letter stay, also where no language was learned.
+    """
     held = docs.sparkSession.sparkContext.broadcast(parser)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, SLICE):
-            lang, _ = held.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != "und" for x in lang]))
+            texts = b.column(at).to_pylist()
+            lang = held.value.predict(texts)[0] if held.value.languages else None
+            yield b.filter(pa.array([bool(t and _WORD.search(t)) if lang is None else lang[i] != "und" for i, t in enumerate(texts)]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -296,3 +296,10 @@ def test_a_language_of_long_texts_is_learned(spark):
     parser = langid.train(df)
     assert parser.languages == ["aa", "bb"]
     assert {r.doc_id: r.lang_pred for r in langid.predict(df, parser).collect()} == {i: k for i, _, k in rows}
+
+
+def test_texts_stay_where_no_language_was_learned(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 !!", None), (4, "é", None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.train(df)
+    assert parser.languages == [] and {r.doc_id for r in langid.keep_identified(df, parser).collect()} == {1, 4}
