@@ -204,15 +204,21 @@ def predict(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: s
 def keep_identified(docs: DataFrame, parser: Parser, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language cannot be told (null, or no letter at all).
 
-    Texts with a letter stay, also where no language was learned.
+    Texts with a letter stay, also where no language was learned. Where ``docs`` have a column
+    ``lang`` of strings, the prediction stands in it for null.
     """
     held = docs.sparkSession.sparkContext.broadcast(parser)
     at = docs.columns.index(text_col)
+    label = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, SLICE):
             texts = b.column(at).to_pylist()
             lang = held.value.predict(texts)[0] if held.value.languages else None
+            if lang and label is not None and b.column(label).null_count:
+                columns = b.columns
+                columns[label] = pa.array([x if x is not None else y for x, y in zip(columns[label].to_pylist(), lang)], pa.string())
+                b = pa.RecordBatch.from_arrays(columns, b.schema.names)
             yield b.filter(pa.array([bool(t and _WORD.search(t)) if lang is None else lang[i] != "und" for i, t in enumerate(texts)]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -303,3 +303,12 @@ def test_texts_stay_where_no_language_was_learned(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     parser = langid.train(df)
     assert parser.languages == [] and {r.doc_id for r in langid.keep_identified(df, parser).collect()} == {1, 4}
+
+
+def test_lang_is_filled_by_the_prediction(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ver"]}
+    rows = [(i, " ".join("".join(rng.choices(syllables[k], k=3)) for _ in range(40)), k) for i, k in enumerate(["aa", "bb"] * 10)]
+    df = spark.createDataFrame([(i, t, None if i >= 16 else k) for i, t, k in rows] + [(90, None, None), (91, rows[0][1], "zz")], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(df, langid.train(df.where("doc_id < 90")))
+    assert {r.doc_id: r.lang for r in kept.collect()} == {i: k for i, _, k in rows} | {91: "zz"}
