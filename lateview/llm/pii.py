@@ -30,9 +30,11 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# a plain " at " is an address only with a veiled dot: "look at this. Then" and "meet at example.org" are none
+_LABEL, _DOT = r"[A-Za-z0-9-]{1,63}", r"(?:\(dot\)|\[dot\]|\{dot\}| dot )"
 _VEILED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}"
-    r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]{1,63}){1,4}",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s?(?:\(at\)|\[at\]|\{{at\}})\s?{_LABEL}(?:\s?(?:\.|{_DOT})\s?{_LABEL}){{1,4}}"
+    rf"|\s? at \s?{_LABEL}(?:\.{_LABEL}){{0,3}}\s?{_DOT}\s?{_LABEL}(?:\s?(?:\.|{_DOT})\s?{_LABEL}){{0,3}})",
     re.I,
 )
 _LONG_IP = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
@@ -86,7 +88,8 @@ def candidates(t: str) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, form`` of all candidates: form ``base``, ``failed`` (base shape, failed check) or ``wide``."""
     out = [(a, b, "email", "base") for a, b in _emails(t)] if "@" in t else []
     low = None
-    if "(at)" in t or "[at]" in t or "{at}" in t or " dot " in t or "(AT)" in t or "[AT]" in t or " DOT " in t:
+    plain = t.lower()
+    if "(at)" in plain or "[at]" in plain or "{at}" in plain or " at " in plain and any(d in plain for d in ("(dot)", "[dot]", "{dot}", " dot ")):
         low = [(m.start(), m.end(), "email", "wide") for m in _VEILED.finditer(t)]
     if _DIGIT.search(t):
         if "." in t:

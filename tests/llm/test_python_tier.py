@@ -312,3 +312,13 @@ def test_lang_is_filled_by_the_prediction(spark):
     df = spark.createDataFrame([(i, t, None if i >= 16 else k) for i, t, k in rows] + [(90, None, None), (91, rows[0][1], "zz")], "doc_id long, text string, lang string")
     kept = langid.keep_identified(df, langid.train(df.where("doc_id < 90")))
     assert {r.doc_id: r.lang for r in kept.collect()} == {i: k for i, _, k in rows} | {91: "zz"}
+
+
+def test_veiled_mail_is_found_whatever_else_the_text_holds():
+    wanted = ["jane (At) example (Dot) org", "jane {AT} example.org", "jane at example Dot org", "jane at mail.example [dot] org", "jane[at]example.org"]
+    plain = ["jane at example.org", "look at this. Then go", "at noon"]
+    veiled = lambda t: [t[a:z] for a, z, kind, form in pii.candidates(t) if (kind, form) == ("email", "wide")]
+    for t in wanted:
+        assert veiled(t) == [t], t
+    for t in plain:
+        assert veiled(t) == [] and veiled(t + "; a (at) b.c") == ["a (at) b.c"], t
