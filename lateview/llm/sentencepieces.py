@@ -1,33 +1,36 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The corpus is cut into blocks of documents; a block's distinct words (pre-tokens, cut again where
-no piece crosses) are numbered. Over all blocks the distinct words explode into their substrings
-up to the longest piece, an equi-join with the piece table leaves the lattice's edges, and a fold
-over each word's edges (Spark's higher-order ``aggregate``) finds its best path. Codes then go
-back to the blocks by number, where the documents are put together. Documents travel once,
-compressed by block.
+The corpus is cut into blocks of documents. A block's distinct words (pre-tokens, cut again where
+no piece crosses) are dealt by hash into buckets and travel as one string for each block and bucket.
+In its bucket every distinct word explodes once into its substrings up to the longest piece, an
+equi-join with the piece table leaves the lattice's edges, and a fold over each word's edges
+(Spark's higher-order ``aggregate``) finds its best path. Codes go back as one value for each bucket and
+block. Documents travel once, compressed by block; where they are put together with their
+codes, everything is done on whole blocks in Arrow and numpy.
 """
 
 from __future__ import annotations
 
-import contextlib
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lateview.llm.common import slices, table
-from lateview.llm.pieces import MODEL, PRE_TOKEN, Pieces
+from lateview.llm.pieces import MODEL, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 6 << 20
-#: Longer words are folded where documents are put together: a fold's state grows with the word.
-LATTICE_LENGTH = 128
+BLOCK_BYTES = 12 << 20
+#: Buckets of words for each shuffle partition of the session: they, and so what a bucket holds, follow the cluster's setting.
+BUCKETS_PER_PARTITION = 4
+#: Code points up to which neighbours are looked up in a square table.
+DENSE = 0x250
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -36,12 +39,16 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table(list(map(list, zip(*rows))), ["piece", "score", "code"]))
 
 
-def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, code`` from distinct ``word``: the best path's ids, two bytes each, as binary."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+def best_paths(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``*keys, word, code`` from distinct ``*keys, word``: the best path's ids, two bytes each, as binary.
+
+    The fold holds the scores and paths of as many places as the longest piece has characters, whatever the word's length.
+    """
+    held = [*keys, "word"]
+    starts = words.select(*held, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     ends = F.sequence("start", F.least(F.length("word"), F.col("start") + F.lit(pieces.longest - 1)))
-    cuts = starts.select("word", "start", F.explode(ends).alias("end"))
-    cuts = cuts.select("word", "end", "start", F.substr("word", "start", F.col("end") - F.col("start") + 1).alias("piece"))
+    cuts = starts.select(*held, "start", F.explode(ends).alias("end"))
+    cuts = cuts.select(*held, "end", "start", F.substr("word", "start", F.col("end") - F.col("start") + 1).alias("piece"))
     vocabulary = F.broadcast(piece_table(words.sparkSession, pieces))  # bounded by the vocabulary
     edges = cuts.join(vocabulary, "piece", "left").where("code is not null or end = start")
     base = pieces.byte_ids[0]
@@ -57,122 +64,130 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
         F.when(F.col("code").isNull(), spelt).otherwise(F.col("code")).alias("code"),
     )
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # done: best score and path up to each place before `at`; now, code: the best so far that ends at `at`
-    start = (
-        "named_struct('at', 0, 'now', 0D, 'code', '', 'done', cast(array() as array<double>), 'paths', cast(array() as array<string>))"
-    )
+    lattice = edges.groupBy(*held).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # done: score and path of the places before `at`, nearest last, as many as a piece can reach back;
+    # now, code: the best so far that ends at `at`. An edge that starts right after `at` opens the next place.
+    place = "struct<now:double,code:string>"
+    start = f"named_struct('at', 0, 'now', 0D, 'code', '', 'done', cast(array() as array<{place}>))"
+    last = pieces.longest - 1
     step = (
         "(a, e) -> if(e.end > a.at,"
-        " named_struct('at', e.end,"
-        "  'now', if(e.start - 1 = a.at, a.now, a.done[e.start - 1]) + e.score,"
-        "  'code', concat(if(e.start - 1 = a.at, a.code, a.paths[e.start - 1]), e.code),"
-        "  'done', array_append(a.done, a.now), 'paths', array_append(a.paths, a.code)),"
-        " if(a.done[e.start - 1] + e.score > a.now,"
-        "  named_struct('at', a.at, 'now', a.done[e.start - 1] + e.score,"
-        "   'code', concat(a.paths[e.start - 1], e.code), 'done', a.done, 'paths', a.paths),"
+        " if(e.start > a.at,"
+        "  named_struct('at', e.end, 'now', a.now + e.score, 'code', concat(a.code, e.code), 'done', {done}),"
+        "  named_struct('at', e.end, 'now', {back_new}.now + e.score, 'code', concat({back_new}.code, e.code), 'done', {done})),"
+        " if({back}.now + e.score > a.now,"
+        "  named_struct('at', a.at, 'now', {back}.now + e.score, 'code', concat({back}.code, e.code), 'done', a.done),"
         "  a))"
     )
-    return lattice.select("word", F.expr(f"unhex(aggregate(edges, {start}, {step}).code)").alias("code"))
+    here = "named_struct('now', a.now, 'code', a.code)"
+    step = step.format(
+        done=f"if(size(a.done) < {last}, array_append(a.done, {here}), array_append(slice(a.done, 2, {last - 1}), {here}))",
+        back_new="element_at(a.done, e.start - 1 - a.at)",
+        back="element_at(a.done, e.start - 1 - a.at)",
+    )
+    return lattice.select(*held, F.expr(f"unhex(aggregate(edges, {start}, {step}).code)").alias("code"))
+
+
+class Letters:
+    """Which neighbouring characters some piece holds: between others every path has a cut."""
+
+    def __init__(self, joined: set[str]) -> None:
+        pairs = np.array(sorted((ord(p[0]) << 21) | ord(p[1]) for p in joined), np.uint64)
+        self.pairs = pairs
+        self.dense = np.zeros((DENSE, DENSE), bool)
+        a, b = (pairs >> np.uint64(21)).astype(np.int64), (pairs & np.uint64((1 << 21) - 1)).astype(np.int64)
+        near = (a < DENSE) & (b < DENSE)
+        self.dense[a[near], b[near]] = True
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = (a < DENSE) & (b < DENSE)
+        out = self.dense[np.where(near, a, 0), np.where(near, b, 0)] & near
+        far = np.flatnonzero(~near)
+        if len(far) and len(self.pairs):
+            key = a[far].astype(np.uint64) << np.uint64(21) | b[far].astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            out[far] = self.pairs[at] == key
+        return out
 
 
-class _Words:
-    """The distinct words of a block, numbered in order of appearance.
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    """The values between ``offsets`` of ``data``, without a copy of the data."""
+    at = pa.py_buffer(np.ascontiguousarray(offsets, np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, at, data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
 
-    codes: by number, what is known of a word's code; a pre-token is then held as its code.
-    Without codes it is held as nothing, and only the words are gathered.
-    """
 
-    def __init__(self, pieces: Pieces, codes: list[bytes | None] | None = None) -> None:
-        self.pieces = pieces
-        self.codes = codes
-        self.numbers: dict[str, int] = {}
-        self.names: list[str] = []
-        # by pre-token; those that begin with one space go without it
-        self.spaced: dict[str, bytes] = {}
-        self.other: dict[str, bytes] = {"": b""}
-
-    def _words(self, token: str) -> bytes:
-        out, numbers, codes = b"", self.numbers, self.codes
-        for w in self.pieces.cut(token):
-            n = numbers.setdefault(w, len(numbers))
-            if n == len(self.names):
-                self.names.append(w)
-                if codes is not None and (n >= len(codes) or codes[n] is None):
-                    codes += [None] * (n + 1 - len(codes))
-                    codes[n] = _packed(self.pieces.encode_word(w))
-            if codes is not None:
-                out += codes[n]
-        return out
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where the values of a large binary array without nulls begin and end in its data."""
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
 
-    def read(self, text: str) -> list[bytes]:
-        """A text's pre-tokens, as ``PRE_TOKEN`` cuts it, by their codes."""
-        spaced, other, out = self.spaced, self.other, []
-        if "  " in text or text[0] == " " or "\n " in text:  # runs of spaces are rare
-            for token in PRE_TOKEN.findall(" " + text):
-                if token not in other:
-                    other[token] = self._words(token)
-                out.append(other[token])
-            return out
-        for i, line in enumerate(text.split("\n")):
-            tokens = line.split(" ")
-            if i:
-                if "\n" not in other:
-                    other["\n"] = self._words("\n")
-                out.append(other["\n"])
-                first = tokens[0]
-                if first not in other:
-                    other[first] = self._words(first)
-                out.append(other[first])
-                del tokens[0]
-            for token in tokens:
-                found = spaced.get(token)
-                if found is None:
-                    found = spaced[token] = self._words(" " + token)
-                out.append(found)
-        return out
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    """A hash of each value, none of which is empty, as the sum of its bytes times powers of an odd number."""
+    at = _offsets(values)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], at[:-1])
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces | None) -> DataFrame:
-    """The blocks of ``docs``: ``block, words`` in order of appearance, or without ``pieces`` ``block, packed``.
+class Words:
+    """The distinct words of a block of texts, dealt into buckets, and the texts as sequences of pre-tokens.
 
-    Both come from the same scan in the same order, so a block has one number in either.
+    Pre-tokens are a line feed, or a run of spaces with what follows up to the next space or line feed;
+    every text that is not empty has a space in front. tokens: the pre-tokens of all texts, by number; ends: where each text
+    begins and ends in them; parts: the words of all distinct pre-tokens, by their place in ``words``; part_at: where a pre-token's begin.
+    words: distinct words, bucket after bucket; bucket: that of each.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    if id_type not in ("bigint", "int", "smallint", "tinyint"):
-        raise ValueError("ids must be integers")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        part = TaskContext.get().partitionId()
-        for n, held in enumerate(_gathered(slices(batches, 1), BLOCK_BYTES)):
-            block = pa.array([part << 32 | n], pa.int64())
-            if pieces:
-                words = _Words(pieces)
-                with _no_collection():
-                    for t in held.column("text").to_pylist():
-                        if t:
-                            words.read(t)
-                values = pa.array([words.names], pa.list_(pa.string()))
-            else:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, held.schema) as out:
-                    out.write_table(held)
-                values = pa.array([squeeze.compress(sink.getvalue())], pa.binary())
-            yield pa.RecordBatch.from_arrays([block, values], ["block", "words" if pieces else "packed"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "block long, " + ("words array<string>" if pieces else "packed binary"))
-
-
-@contextlib.contextmanager
-def _no_collection() -> Iterator[None]:
-    """Without the cyclic collector, which would walk a block's many small lists again and again."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
+    def __init__(self, texts: list[bytes | None], letters: Letters, buckets: int) -> None:
+        self.data = b"".join([b" " + t for t in texts if t])
+        data = np.frombuffer(self.data, np.uint8)
+        starts = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        self.starts = starts
+        space, line = data == 32, data == 10
+        new = line.copy()
+        new[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        new[starts[:-1][np.diff(starts) > 0]] = True
+        at = np.flatnonzero(new)
+        self.ends = np.searchsorted(at, starts)
+        coded = _binary(np.append(at, len(data)), self.data).dictionary_encode()
+        self.tokens = coded.indices
+        names = coded.dictionary
+
+        # the distinct pre-tokens, cut where no piece crosses
+        bounds = _offsets(names)
+        raw = names.buffers()[2]
+        spelt = np.frombuffer(raw, np.uint8)[: bounds[-1]] if len(names) else np.zeros(0, np.uint8)
+        first = np.flatnonzero((spelt & 0xC0) != 0x80)  # bytes that begin a character
+        points = np.frombuffer(spelt.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+        cut = np.zeros(len(points) + 1, bool)
+        cut[np.searchsorted(first, bounds)] = True
+        cut[1:-1] |= ~letters.joined(points[:-1], points[1:]) if len(points) else False
+        begin = np.append(first, len(spelt))[np.flatnonzero(cut)]
+        self.part_at = np.searchsorted(begin, bounds)
+        parts = _binary(begin, raw if len(names) else b"").dictionary_encode()
+        words = parts.dictionary
+        bucket = ((_hashes(words) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[order]
+        self.words = words.take(pa.array(order))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.parts = place[parts.indices.to_numpy()]
+
+    def joined(self) -> tuple[np.ndarray, pa.Array]:
+        """The buckets that hold words, and their words, one to a line. The word that is a line feed stands as nothing."""
+        head = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(self.bucket) else np.zeros(0, np.int64)
+        words = pc.if_else(pc.equal(self.words, b"\n"), pa.scalar(b"", pa.large_binary()), self.words)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(head, len(words)), pa.int64()), words)
+        return self.bucket[head], pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary()))
+
+    def encode(self, codes: pa.Array) -> pa.Array:
+        """The ids of every text, one text after another, from the ids of ``words`` (four bytes each): a value for each pre-token."""
+        parts = codes.take(pa.array(self.parts))
+        return _binary(_offsets(parts)[self.part_at], parts.buffers()[2]).take(self.tokens)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -187,59 +202,117 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _texts(held: pa.Table) -> list[bytes | None]:
+    return held["text"].cast(pa.large_binary()).to_pylist()
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, schema: str, made) -> DataFrame:
+    """What ``made(block, table)`` gives for every block of ``doc_id, text``, numbered by partition and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for n, held in enumerate(_gathered(slices(batches, 1, 1 << 20), BLOCK_BYTES)):
+            yield made(part << 32 | n, held)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``doc_id, ids, decoded_ok``: the piece ids of every whole text, and whether they decode to it again.
 
     The path through each pre-token is the best by the sum of piece scores; of equal paths the
     one whose last pieces are longest. Null texts have null ids, empty texts none; both decode to
     what they were. Null ids of documents and repeated rows stay; other columns are not read; an empty
-    table gives no rows.
+    table gives no rows. ``docs`` is read twice, for words and for documents; should the two readings
+    not cut the same blocks, as of a frame whose order changes, the job fails and gives no wrong ids.
     """
     pieces = Pieces(model)
-    words = _blocks(docs, id_col, text_col, pieces).select("block", F.posexplode("words").alias("n", "word")).where(F.length("word") <= LATTICE_LENGTH)
-    words = words.repartition("word")
-    # counting with every column keeps both uses of `words` on one shuffle, and the texts are read once for it
-    distinct = words.groupBy("word").agg(F.max("block").alias("block"), F.max("n").alias("n"))
-    paths = best_paths(distinct.where("block >= 0 and n >= 0").select("word"), pieces)
-    codes = words.join(paths, "word").select("block", "n", "code")
+    letters, spelt = Letters(pieces.joined), pa.array(pieces.spelt, pa.large_binary())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work
+    buckets = BUCKETS_PER_PARTITION * parts
+
+    def words_of(block: int, held: pa.Table) -> pa.RecordBatch:
+        found, lines = Words(_texts(held), letters, buckets).joined()
+        columns = [pa.array(np.full(len(found), block)), pa.array(found.astype(np.int32)), lines.cast(pa.large_string()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "words"])
+
+    def packed(block: int, held: pa.Table) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held.schema) as out:
+            out.write_table(held)
+        value = zstandard.ZstdCompressor(level=4).compress(sink.getvalue())
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([value], pa.binary())], ["b", "packed"])
+
+    def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """The codes of each block's words of one bucket: digest of the words, ids of each, the ids."""
+        names = pc.if_else(pc.equal(right["word"], "\n"), "", right["word"]).combine_chunks()
+        codes = right["code"].combine_chunks().cast(pa.large_binary())
+        squeeze = zstandard.ZstdCompressor(level=1)
+        blobs = []
+        for words in left["words"]:
+            at = pc.index_in(pc.split_pattern(pa.array([words.as_py()]), "\n").flatten(), value_set=names)
+            if at.null_count:
+                raise ValueError("a word without a path")
+            got = codes.take(at)
+            ends = _offsets(got)
+            data = got.buffers()[2]
+            blobs.append(squeeze.compress(b"".join([
+                xxhash.xxh64_digest(words.as_py()), np.uint32(len(got)).tobytes(), (np.diff(ends) // 2).astype("<u4").tobytes(),
+                bytes(data)[ends[0] : ends[-1]] if data else b"",
+            ])))
+        return pa.table([left["block"], left["bucket"], pa.array(blobs, pa.binary())], ["block", "bucket", "codes"])
 
     def put_together(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        number = right["n"].to_numpy()
-        by_number: list[bytes | None] = [None] * (int(number.max()) + 1 if len(number) else 0)
-        for n, c in zip(number.tolist(), right["code"].to_pylist()):
-            by_number[n] = c
-        out_id, out_ids, out_ok = [], [], []
-        for packed in left["packed"]:
-            held = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all()
-            words = _Words(pieces, by_number)
-            rows = list(zip(held["doc_id"].to_pylist(), held["text"].to_pylist()))
-            gc.disable()
-            for doc, t in rows:
-                out_id.append(doc)
-                if not t:
-                    out_ids.append(None if t is None else b"")
-                    out_ok.append(True)
-                    continue
-                ids = b"".join(words.read(t))
-                out_ids.append(ids)
-                out_ok.append(pieces.decode(np.frombuffer(ids, ">u2").tolist()) == t)
-            gc.enable()
-        flat = np.frombuffer(b"".join(x or b"" for x in out_ids), ">u2").astype(np.int32)
-        offsets = np.cumsum([0, *(len(x or b"") // 2 for x in out_ids)]).astype(np.int32)
-        nulls = pa.array([x is None for x in out_ids], pa.bool_())
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=nulls)
-        return pa.table([pa.array(out_id, pa.int64()), ids, pa.array(out_ok, pa.bool_())], ["doc_id", "ids", "decoded_ok"])
-
-    left = _blocks(docs, id_col, text_col, None).select(F.col("block").alias("b"), "packed").groupBy("b")
-    return left.cogroup(codes.groupBy("block")).applyInArrow(put_together, "doc_id long, ids array<int>, decoded_ok boolean")
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, ">u2").tobytes()
+        if left.num_rows != 1:
+            raise ValueError("words of a block that the documents do not have: the table changed between two readings")
+        squeezed = zstandard.ZstdDecompressor()
+        held = pa.ipc.open_stream(squeezed.decompress(left["packed"][0].as_py())).read_all()
+        texts = _texts(held)
+        words = Words(texts, letters, buckets)
+        found, lines = words.joined()
+        right = right.take(pc.sort_indices(right["bucket"]))
+        counts, ids = [np.zeros(0, "<u4")], [np.zeros(0, ">u2")]
+        blobs = [squeezed.decompress(c.as_py()) for c in right["codes"]]
+        if [xxhash.xxh64_digest(x.as_py()) for x in lines] != [b[:8] for b in blobs] or found.tolist() != right["bucket"].to_pylist():
+            raise ValueError("the words of a block are not those that were looked up: the table changed between two readings")
+        for b in blobs:
+            n = int(np.frombuffer(b, "<u4", 1, 8)[0])
+            counts.append(np.frombuffer(b, "<u4", n, 12))
+            ids.append(np.frombuffer(b, ">u2", -1, 12 + 4 * n))
+        ends = np.cumsum(np.r_[0, np.concatenate(counts).astype(np.int64)]) * 4
+        codes = _binary(ends, np.concatenate(ids).astype("<i4").tobytes())
+        coded = words.encode(codes)
+        at = _offsets(coded)
+        flat = np.frombuffer(coded.buffers()[2] or b"", "<i4")[at[0] // 4 : at[-1] // 4]
+        ends = (at - at[0])[words.ends] // 4
+        back = spelt.take(pa.array(flat))
+        stops = _offsets(back)
+        if (stops[ends] - stops[0] == words.starts).all() and bytes(back.buffers()[2] or b"")[stops[0] : stops[-1]] == words.data:
+            ok = [True] * len(texts)
+        else:
+            all_back, cut = bytes(back.buffers()[2] or b""), stops[ends]
+            ok = [all_back[a:z] == (b" " + t if t else b"") for a, z, t in zip(cut[:-1], cut[1:], texts)]
+        nulls = pa.array([t is None for t in texts], pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=nulls)
+        return pa.table([held["doc_id"], lists, pa.array(ok, pa.bool_())], ["doc_id", "ids", "decoded_ok"])
+
+    met = _blocks(docs, id_col, text_col, "block long, bucket int, words string", words_of).repartition(parts, "bucket")
+    listed = met.select("bucket", "block", F.explode(F.split("words", "\n", -1)).alias("word"))
+    listed = listed.select("bucket", "block", F.when(F.col("word") == "", "\n").otherwise(F.col("word")).alias("word"))
+    # the block stays in the plan, so that both uses of `met` are one shuffle and the texts are read once for it
+    distinct = listed.groupBy("bucket", "word").agg(F.max("block").alias("block")).where("block >= 0")
+    paths = best_paths(distinct.select(F.col("bucket").alias("k"), "word"), pieces, ("k",))
+    codes = met.groupBy("bucket").cogroup(paths.groupBy("k")).applyInArrow(look_up, "block long, bucket int, codes binary")
+    left = _blocks(docs, id_col, text_col, "b long, packed binary", packed)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return left.groupBy("b").cogroup(codes.groupBy("block")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>, decoded_ok boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``: null ids give a null text, no ids an empty one."""
+    """``doc_id, text`` from ``doc_id, ids``: null ids give a null text, no ids an empty one.
+
+    Null document ids and repeated rows stay, other columns are not read, an empty table gives no rows.
+    """
     pieces = Pieces(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
