@@ -26,7 +26,7 @@ from lateview.llm.common import slices, table
 from lateview.llm.pieces import MODEL, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Buckets of words for each shuffle partition of the session: they, and so what a bucket holds, follow the cluster's setting.
 BUCKETS_PER_PARTITION = 4
 #: Code points up to which neighbours are looked up in a square table.
