@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lateview.functions import matrix
 from lateview.operators import grid
 from lateview.operators.index import CompactIndex
 from lateview.plans.contracts import BackboneProfile, CompilerConfig
+from lateview.sources.shared import write_shared
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,41 @@ class BoundaryState:
     context: Any = None
 
 
+@dataclass(frozen=True)
+class PageAssignment:
+    """Which anchor slot each visual token of one page went to."""
+
+    grid_shape: tuple[int, int]
+    anchor_indices: np.ndarray
+    slot_for_token: np.ndarray
+    cluster_sizes: np.ndarray
+    assignment_cosines: np.ndarray
+
+    @property
+    def full_visual_tokens(self) -> int:
+        return len(self.slot_for_token)
+
+    @property
+    def compact_visual_tokens(self) -> int:
+        return len(self.anchor_indices)
+
+    @property
+    def persistent_fraction(self) -> float:
+        return self.compact_visual_tokens / self.full_visual_tokens
+
+    def compact_positions(self, *, auxiliary_tokens: int = 0) -> np.ndarray:
+        """The original positions of the compact rows."""
+        return np.array(grid.compact_positions(self.grid_shape, auxiliary_tokens=auxiliary_tokens))
+
+
+@dataclass(frozen=True)
+class CoalescedState:
+    """The compact rows of one page, and how they came about."""
+
+    hidden_states: np.ndarray
+    assignment: PageAssignment
+
+
 @runtime_checkable
 class DocumentEncoderAdapter(Protocol):
     """A model that can stop after a layer and go on from a compact state."""
@@ -35,22 +72,19 @@ class DocumentEncoderAdapter(Protocol):
 
     def run_prefix(self, document: Any, *, split_after_layer: int) -> BoundaryState: ...
 
-    def run_suffix(self, boundary: BoundaryState, compact: np.ndarray) -> Any: ...
+    def run_suffix(self, boundary: BoundaryState, compact: CoalescedState) -> Any: ...
 
 
-def coalesce_matrix(hidden: Any, shape: tuple[int, int], auxiliary: int) -> np.ndarray:
-    """One page's compact rows, with the checks of the table form."""
-    m = np.asarray(hidden, dtype=float)
-    if m.ndim != 2 or 0 in m.shape:
-        raise ValueError("expected a non-empty rank-2 hidden-state matrix")
-    if not np.isfinite(m).all():
-        raise ValueError("hidden states must be finite")
+def coalesce_matrix(hidden: Any, shape: tuple[int, int], auxiliary: int) -> CoalescedState:
+    """One page's compact state, with the checks of the table form."""
+    m = matrix.checked(hidden, "expected a non-empty rank-2 hidden-state matrix", "hidden states must be finite")
     full = shape[0] * shape[1]
     if len(m) != full + auxiliary:
         raise ValueError("grid and auxiliary counts do not match hidden states")
     at = np.array(grid.topology_anchors(shape))
-    u = m[:full] / np.maximum(np.linalg.norm(m[:full], axis=1, keepdims=True), 1e-12)
-    return grid.pool(m, (u @ u[at].T).argmax(axis=1), at, full)
+    slot, cosine = grid.nearest_anchors(m, at, full)
+    assignment = PageAssignment(tuple(shape), at, slot, np.bincount(slot, minlength=len(at)), cosine)
+    return CoalescedState(grid.pool(m, slot, at, full), assignment)
 
 
 class Compiler:
@@ -60,7 +94,7 @@ class Compiler:
         self.plan = config.build_plan()
 
     def compile_hidden_states(self, pages: DataFrame, *, auxiliary_tokens: int = 0) -> DataFrame:
-        """``item_id, workers`` of a table of pages."""
+        """``item_id, workers, assigned`` of a table of pages."""
         return grid.coalesce_hidden_states(pages, self.plan.grid_shape, auxiliary_tokens=auxiliary_tokens)
 
     def _admit(self, adapter: DocumentEncoderAdapter) -> None:
@@ -99,4 +133,6 @@ class Compiler:
         return CompactIndex(items) if isinstance(items, DataFrame) else CompactIndex.of(spark, items)
 
     def build_documents(self, adapter: DocumentEncoderAdapter, documents: DataFrame) -> CompactIndex:
-        return CompactIndex(self.compile_documents(adapter, documents))
+        """An index of compiled documents. The model runs once a document: its endpoints are written before they are checked,
+        and searches, refinements and the durable artifact read what was written."""
+        return CompactIndex(write_shared(self.compile_documents(adapter, documents)))

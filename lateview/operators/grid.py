@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lateview.functions import vec
 
-#: Multiplications a page (tokens x anchors x width) from which the bulk tier is taken.
-BULK_FROM = 50_000
+#: Pairs of token and anchor a page from which the bulk tier is taken.
+BULK_FROM = 1024
 
 
 def check_grid(grid: tuple[int, int]) -> None:
@@ -51,20 +51,24 @@ def compact_positions(grid: tuple[int, int], *, auxiliary_tokens: int = 0) -> li
     return topology_anchors(grid) + list(range(full, full + auxiliary_tokens))
 
 
-def check_pages(pages: DataFrame, rows: int | None, what: str = "hidden") -> None:
-    """One aggregate over all pages; ValueError for the first rule broken by any."""
+def page_faults(pages: DataFrame, rows: int | None, what: str = "hidden", mismatch: str = "grid and auxiliary counts do not match hidden states") -> DataFrame:
+    """``item_id, reason``: the first rule that a page's matrix breaks, or null. Null matrices and null rows are no matrices."""
     m = vec.doubles(what)
-    bad = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
-    checks = [bad(vec.is_matrix(m)), bad(F.forall(m, vec.is_finite))]
+    rules = [(vec.is_matrix(m), "expected a non-empty rank-2 hidden-state matrix"), (F.forall(m, vec.is_finite), "hidden states must be finite")]
     if rows is not None:
-        checks.append(bad(F.size(m) == rows))
-    shape, finite, *count = pages.agg(*(c.alias(f"c{i}") for i, c in enumerate(checks))).first()
-    if shape:
-        raise ValueError("expected a non-empty rank-2 hidden-state matrix")
-    if finite:
-        raise ValueError("hidden states must be finite")
-    if count and count[0]:
-        raise ValueError("grid and auxiliary counts do not match hidden states")
+        rules.append((F.size(m) == rows, mismatch))
+    reason = F.coalesce(*(F.when(~F.coalesce(holds, F.lit(False)), F.lit(why)) for holds, why in rules))
+    return pages.select(F.col("item_id").cast("string").alias("item_id"), reason.alias("reason"))
+
+
+def check_pages(pages: DataFrame, rows: int | None, what: str = "hidden", mismatch: str = "grid and auxiliary counts do not match hidden states") -> None:
+    """ValueError with a reason of :func:`page_faults` for the first of those that any page has; one pass over the pages."""
+    order = ("expected a non-empty", "hidden states must be", "")
+    reasons = [r["reason"] for r in page_faults(pages, rows, what, mismatch).where("reason is not null").select("reason").distinct().collect()]
+    for start in order:
+        for reason in reasons:
+            if reason.startswith(start):
+                raise ValueError(reason)
 
 
 def _assigned(hidden: Column, at: list[int], full: int) -> Column:
@@ -88,11 +92,9 @@ def _assign_bulk(pages: DataFrame, grid: tuple[int, int]) -> DataFrame:
         for b in batches:
             slots, cosines = [], []
             for m in matrices(b.column(1)):
-                u = m[:full] / np.maximum(np.linalg.norm(m[:full], axis=1, keepdims=True), vec.FLOOR)
-                cos = u @ u[at].T
-                slot = cos.argmax(axis=1)
+                slot, cosine = nearest_anchors(m, at, full)
                 slots.append(slot)
-                cosines.append(cos[np.arange(full), slot])
+                cosines.append(cosine)
             flat = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(slots).astype(np.int32)), pa.array(np.concatenate(cosines))], ["slot", "cosine"]
             ) if slots else pa.array([], pa.struct([("slot", pa.int32()), ("cosine", pa.float64())]))
@@ -112,22 +114,42 @@ def matrices(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[inner[a] : inner[z]].reshape(z - a, -1)
 
 
-def assign(pages: DataFrame, grid: tuple[int, int], *, bulk: bool | None = None, width: int = 64) -> DataFrame:
+def nearest_anchors(matrix: np.ndarray, at: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and cosine of each visual token of one page; of equal anchors the lowest slot, whatever order products are summed in."""
+    u = matrix[:full] / np.maximum(np.linalg.norm(matrix[:full], axis=1, keepdims=True), vec.FLOOR)
+    first = np.sort(np.unique(u[at], axis=0, return_index=True)[1])  # of equal anchors one takes part
+    cos = u @ u[at[first]].T
+    best = cos.argmax(axis=1)
+    return first[best], cos[np.arange(full), best]
+
+
+def _bulk(grid: tuple[int, int], bulk: bool | None) -> bool:
+    return grid[0] * grid[1] * (grid[0] * grid[1] // 2) >= BULK_FROM if bulk is None else bulk
+
+
+def assign(pages: DataFrame, grid: tuple[int, int], *, auxiliary_tokens: int = 0, bulk: bool | None = None, check: bool = True) -> DataFrame:
     """``item_id, hidden, assigned``: each visual token's slot and cosine, as an array in token order.
 
     Cosines are between unit rows; a token goes to its most similar anchor, ties to the lowest
     slot; zero rows have cosine 0 everywhere and go to slot 0. ``bulk`` picks the tier; by
-    default the size of a page does.
+    default the size of a page does. A page that is no finite matrix, or has not as many rows as the grid and
+    the auxiliary tokens, is a ValueError; a caller that has checked may leave it out.
     """
     at, full = topology_anchors(grid), grid[0] * grid[1]
-    if bulk is None:
-        bulk = full * len(at) * width >= BULK_FROM
-    if bulk:
+    if check:
+        check_pages(pages, full + auxiliary_tokens, mismatch="grid shape does not match the visual hidden states")
+    if _bulk(grid, bulk):
         return _assign_bulk(pages, grid)
     m = vec.doubles("hidden")
     return pages.select(F.col("item_id").cast("string").alias("item_id"), m.alias("hidden"), _assigned(m, at, full).alias("assigned"))
 
 
+def capacity(assigned: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """``item_id, full_visual_tokens, compact_visual_tokens, persistent_fraction`` of every assignment."""
+    full, compact = F.size("assigned").cast("long"), F.lit(len(topology_anchors(grid))).cast("long")
+    return assigned.select("item_id", full.alias("full_visual_tokens"), compact.alias("compact_visual_tokens"), F.try_divide(compact, full).alias("persistent_fraction"))
+
+
 def assignment(assigned: DataFrame) -> DataFrame:
     """Long form ``item_id, pos, slot, cosine``."""
     return assigned.select("item_id", F.posexplode("assigned").alias("pos", "a")).select("item_id", "pos", "a.slot", "a.cosine")
@@ -148,10 +170,9 @@ def apply_assignment(
     *,
     auxiliary_tokens: int = 0,
     bulk: bool | None = None,
-    width: int = 64,
     check: bool = True,
 ) -> DataFrame:
-    """``item_id, workers``: the mean of the raw rows of each cluster by slot, then the auxiliary rows.
+    """``item_id, workers, assigned``: the mean of the raw rows of each cluster by slot, then the auxiliary rows; and the assignment.
 
     A cluster without rows keeps its raw anchor. ``assigned`` may pair an assignment with another
     matrix of as many rows, of any width. Pages whose rows do not match are a ValueError, found by
@@ -163,9 +184,7 @@ def apply_assignment(
     rows = full + auxiliary_tokens
     if check and not assigned.where((F.size("hidden") != rows) | (F.size("assigned") != full)).isEmpty():
         raise ValueError("assignment and auxiliary counts do not match hidden states")
-    if bulk is None:
-        bulk = full * len(at) * width >= BULK_FROM
-    if bulk:
+    if _bulk(grid, bulk):
         return _apply_bulk(assigned, at, full, rows)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
@@ -181,7 +200,7 @@ def apply_assignment(
 
     # bound in an array of one, or the assignment would be worked out again for every slot
     means = F.get(F.transform(F.array(F.struct("hidden", "assigned")), compact), F.lit(0))
-    return assigned.select("item_id", means.alias("workers"))
+    return assigned.select("item_id", means.alias("workers"), "assigned")
 
 
 def pool(matrix: np.ndarray, slot: np.ndarray, at: np.ndarray, full: int) -> np.ndarray:
@@ -215,18 +234,19 @@ def _apply_bulk(assigned: DataFrame, at: list[int], full: int, rows: int) -> Dat
                 if len(m) != rows or z - a != full:
                     raise ValueError("assignment and auxiliary counts do not match hidden states")
                 found.append(pool(m, flat[a:z], places, full))
-            yield pa.RecordBatch.from_arrays([b.column(0), nested(found)], ["item_id", "workers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), nested(found), slots], ["item_id", "workers", "assigned"])
 
-    return assigned.select("item_id", "hidden", "assigned").mapInArrow(run, "item_id string, workers array<array<double>>")
+    kind = "item_id string, workers array<array<double>>, assigned array<struct<slot:int,cosine:double>>"
+    return assigned.select("item_id", "hidden", "assigned").mapInArrow(run, kind)
 
 
-def coalesce_hidden_states(pages: DataFrame, grid: tuple[int, int], *, auxiliary_tokens: int = 0, bulk: bool | None = None, width: int = 64, check: bool = True) -> DataFrame:
-    """Assignment and pooling of whole pages: ``item_id, workers``."""
+def coalesce_hidden_states(pages: DataFrame, grid: tuple[int, int], *, auxiliary_tokens: int = 0, bulk: bool | None = None, check: bool = True) -> DataFrame:
+    """Assignment and pooling of whole pages: ``item_id, workers, assigned``."""
     check_grid(grid)
     if check:
         check_pages(pages, grid[0] * grid[1] + auxiliary_tokens)
-    assigned = assign(pages, grid, bulk=bulk, width=width)
-    return apply_assignment(assigned, grid, auxiliary_tokens=auxiliary_tokens, bulk=bulk, width=width, check=False)
+    assigned = assign(pages, grid, bulk=bulk, check=False)
+    return apply_assignment(assigned, grid, auxiliary_tokens=auxiliary_tokens, bulk=bulk, check=False)
 
 
 def long_rows(df: DataFrame, column: str, pos: str, value: str) -> DataFrame:

@@ -6,9 +6,8 @@ rows; a last page that is not whole is no page. The toy model's suffix keeps fou
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import dataclasses
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from lateview.functions import vec
 from lateview.operators import encode, grid, index
 from lateview.plans import contracts, lifecycle, portfolio
 from lateview.sources import artifact
+from lateview.sources.shared import fresh_folder
 
 GRID, AUXILIARY, PAGE = (4, 4), 2, 18
 PROFILE = contracts.BackboneProfile("toy", 18, 6, 16, 8)
@@ -34,8 +34,8 @@ class SliceAdapter:
     def run_prefix(self, document, *, split_after_layer: int) -> encode.BoundaryState:
         return encode.BoundaryState(document, GRID, AUXILIARY)
 
-    def run_suffix(self, boundary: encode.BoundaryState, compact: np.ndarray) -> np.ndarray:
-        return compact[:, : self.columns]
+    def run_suffix(self, boundary: encode.BoundaryState, compact: encode.CoalescedState) -> np.ndarray:
+        return compact.hidden_states[:, : self.columns]
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,12 +113,12 @@ def compact_positions(spark, sf):
 
 
 def assign_anchors(spark, sf):
-    long = grid.assignment(grid.assign(pages(spark, sf), GRID))
+    long = grid.assignment(grid.assign(pages(spark, sf), GRID, auxiliary_tokens=AUXILIARY))
     return long.select("item_id", "pos", "slot", six(F.col("cosine")).alias("cosine"))
 
 
 def cluster_sizes(spark, sf):
-    return grid.clusters(grid.assign(pages(spark, sf), GRID), GRID)
+    return grid.clusters(grid.assign(pages(spark, sf), GRID, auxiliary_tokens=AUXILIARY), GRID)
 
 
 def pool_clusters(spark, sf):
@@ -134,7 +134,7 @@ def coalesce_pages(spark, sf):
 
 def teacher_pool(spark, sf):
     """An assignment reused for another matrix of the same pages."""
-    assigned = grid.assign(pages(spark, sf), GRID)
+    assigned = grid.assign(pages(spark, sf), GRID, auxiliary_tokens=AUXILIARY)
     other = assigned.withColumn("hidden", F.transform("hidden", lambda v: F.transform(v, lambda x: x + 0.1)))
     return long_values(grid.apply_assignment(other, GRID, auxiliary_tokens=AUXILIARY, check=False), "workers", "wpos")
 
@@ -172,7 +172,7 @@ def search_batch(spark, sf):
 def contains_semi(spark, sf):
     """Which vectors' page numbers, read as item ids, the compiled index holds."""
     ids = embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("item_id"))
-    return ids.join(compiled(spark, sf).items.select("item_id"), "item_id", "left_semi")
+    return index.known_candidates(compiled(spark, sf), ids)
 
 
 def unknown_anti(spark, sf):
@@ -189,20 +189,14 @@ def records_order(spark, sf):
 
 def refine_candidates(spark, sf):
     i = compiled(spark, sf)
-    best = [r.item_id for r in i.results(short_query(spark, sf), top_k=10)]
+    best = i.results(short_query(spark, sf), top_k=10)
     full = pages(spark, sf).select("item_id", F.col("hidden").alias("vectors"))
     found = index.refine(i, query_rows(spark, sf), best, full, top_k=5)
     return found.select("item_id", six(F.col("score")).alias("score"))
 
 
-def _folder(spark) -> str:
-    """The shared folder of a cluster, or a folder of this machine where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or os.path.join(tempfile.gettempdir(), 'checkpoints', 'lateview')}/artifact-{uuid.uuid4().hex}"
-
-
 def artifact_roundtrip(spark, sf):
-    path = _folder(spark)
+    path = fresh_folder(spark, "artifact")
     artifact.save_index(spark, path, compiled(spark, sf), contracts.plan_topology_anchored(PROFILE, grid_shape=GRID))
     loaded, _ = artifact.load_index(spark, path)
     return loaded.records().select("item_id", "vec_pos", F.posexplode("v").alias("dim", "x")).select(
@@ -215,7 +209,7 @@ def artifact_offsets(spark, sf):
 
 
 def artifact_digest(spark, sf):
-    path = _folder(spark)
+    path = fresh_folder(spark, "artifact")
     plan = contracts.plan_topology_anchored(PROFILE, grid_shape=GRID)
     m = artifact.save_index(spark, path, compiled(spark, sf), plan)
     again = artifact.payload_digest(spark, f"{path}/items")
@@ -305,13 +299,183 @@ def break_even(spark, sf):
     return workloads(spark, sf).select("user_id", six(lifecycle.break_even()).alias("queries"))
 
 
+def profile_dicts(spark, sf):
+    """Profiles to dictionaries, JSON, and back."""
+    rows = [contracts.BackboneProfile(*r) for r in spark.sql(f"SELECT * FROM VALUES {PROFILES} AS t({PROFILE_COLUMNS})").collect()]
+    back = [contracts.BackboneProfile.from_dict(json.loads(json.dumps(p.to_dict()))) for p in rows]
+    kinds = {"str": "string", "int": "int", "bool": "boolean"}
+    schema = ", ".join(f"{f.name} {kinds[f.type]}" for f in dataclasses.fields(PROFILE))
+    return spark.createDataFrame([(*dataclasses.astuple(b), b == p) for p, b in zip(rows, back)], f"{schema}, same boolean")
+
+
+SHAPES = ((4, 4), (2, 8), (8, 2), (5, 3))
+
+
+def plan_dicts(spark, sf):
+    """Plans to dictionaries, JSON, and back; what comes back is not validated, as the last shape shows."""
+    rows = []
+    for shape in SHAPES:
+        plan = contracts.CompilePlan(PROFILE, shape)
+        back = contracts.CompilePlan.from_dict(json.loads(json.dumps(plan.to_dict())))
+        rows.append((f"{shape[0]}x{shape[1]}", back.canonical, back == plan))
+    return spark.createDataFrame(rows, "grid string, canonical string, same boolean")
+
+
+PLANS = """
+  (1, 'toy', 18, 16, 8, 4, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (2, '', 1, 16, 8, 4, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (3, 'toy', 18, 15, 8, 5, 3, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (4, 'toy', 18, 16, 8, 4, 6, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (5, 'toy', 18, 16, 12, 4, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (6, 'toy', 18, 16, 8, 4, 4, 'other', 'other', 'cluster_mean', 1),
+  (7, 'toy', 18, 16, 8, 4, 4, 'right_column_pair_per_2x2', 'other', 'cluster_mean', 1),
+  (8, 'toy', 18, 16, 8, 4, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'other', 1),
+  (9, 'toy', 18, 16, 8, 4, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 2),
+  (10, NULL, 18, 16, 8, NULL, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1),
+  (11, 'toy', 18, 16, 8, NULL, 4, 'right_column_pair_per_2x2', 'global_hidden_cosine', 'cluster_mean', 1)
+""".strip()
+PLAN_COLUMNS = "plan_id, name, layers, full_tokens, compact_tokens, grid_rows, grid_columns, layout, assignment, pooling, version"
+
+
+def plan_checks(spark, sf):
+    """A table of plans against the rules of a single one."""
+    rows = spark.sql(f"SELECT * FROM VALUES {PLANS} AS t({PLAN_COLUMNS})")
+    profile = F.struct(
+        "name", F.col("layers").alias("total_layers"), F.lit(6).alias("split_after_layer"), F.col("full_tokens").alias("full_visual_tokens"),
+        F.col("compact_tokens").alias("compact_visual_tokens"), *(F.lit(True).alias(c) for c in PROFILE_COLUMNS.split(", ")[5:]),
+    )
+    plans = rows.select(
+        "plan_id", profile.alias("profile"), F.array("grid_rows", "grid_columns").alias("grid_shape"), F.col("layout").alias("anchor_layout"),
+        "assignment", "pooling", F.col("version").alias("format_version"),
+    )
+    return contracts.validate_plans(plans).select("plan_id", "reason")
+
+
+def assignment_capacity(spark, sf):
+    return grid.capacity(grid.assign(pages(spark, sf), GRID, auxiliary_tokens=AUXILIARY), GRID)
+
+
+def hidden_checks(spark, sf):
+    """Pages of which four in five were spoilt, each in its way, against the rules for matrices."""
+    m, kind = F.col("hidden"), F.col("item_ord") % 5
+    nan = F.transform(m, lambda v, i: F.when(i == 3, F.transform(v, lambda x: F.lit(float("nan")))).otherwise(v))
+    ragged = F.transform(m, lambda v, i: F.when(i == 2, F.slice(v, 1, 5)).otherwise(v))
+    spoilt = F.when(kind == 1, nan).when(kind == 2, ragged).when(kind == 3, F.slice(m, 1, 17)).when(kind == 0, m)
+    return grid.page_faults(pages(spark, sf).withColumn("hidden", spoilt), PAGE)
+
+
+def compiled_hidden(spark, sf):
+    """Hidden states compiled without a model."""
+    compiler = encode.Compiler(contracts.CompilerConfig(PROFILE, GRID))
+    return long_values(compiler.compile_hidden_states(pages(spark, sf), auxiliary_tokens=AUXILIARY), "workers", "wpos")
+
+
+def edge_tokens(spark, sf) -> DataFrame:
+    """Pages whose first row is zero and whose second anchor equals the first, which leaves a cluster empty."""
+    m = F.col("hidden")
+    changed = F.transform(m, lambda v, i: F.when(i == 0, F.transform(v, lambda x: F.lit(0.0))).when(i == 5, F.get(m, F.lit(1))).otherwise(v))
+    return pages(spark, sf).withColumn("hidden", changed)
+
+
+def edge_clusters(spark, sf):
+    return grid.clusters(grid.assign(edge_tokens(spark, sf), GRID, auxiliary_tokens=AUXILIARY), GRID)
+
+
+def edge_pages(spark, sf):
+    return long_values(grid.coalesce_hidden_states(edge_tokens(spark, sf), GRID, auxiliary_tokens=AUXILIARY), "workers", "wpos")
+
+
+def built_items(spark, sf):
+    """Endpoints indexed as they are, each under two names: equal scores go by name, and "10" comes before "2"."""
+    compiler = encode.Compiler(contracts.CompilerConfig(PROFILE, GRID))
+    one = topics(spark, sf)
+    both = one.unionByName(one.select((F.col("item_ord") + 100).alias("item_ord"), F.concat("item_id", F.lit("0")).alias("item_id"), "vectors"))
+    found = compiler.build(spark, both.where("item_id != '00'")).search(query_rows(spark, sf), top_k=12)
+    return found.select("item_id", six(F.col("score")).alias("score"))
+
+
+def contains_ids(spark, sf):
+    """The index asked for single ids."""
+    held = compiled(spark, sf)
+    return spark.createDataFrame([(k, held.contains(k)) for k in ("0", "7", "007", "-1", "x")], "item_id string, held boolean")
+
+
+def manifest_rejects(spark, sf):
+    """What a manifest says that was changed in one place."""
+    plan = contracts.plan_topology_anchored(PROFILE, grid_shape=GRID)
+    good = artifact.IndexManifest(plan, 2, 20, 4, "0" * 64).to_dict()
+    changed = {
+        "as written": good,
+        "fingerprint": good | {"plan_fingerprint": "0" * 64},
+        "grid": good | {"plan": good["plan"] | {"grid_shape": [2, 8]}},
+        "counts as text": good | {"item_count": "2"},
+    }
+    rows = []
+    for case, value in changed.items():
+        try:
+            rows.append((case, artifact.IndexManifest.from_dict(json.loads(json.dumps(value))).item_count, None))
+        except ValueError as e:
+            rows.append((case, -1, str(e)))
+    return spark.createDataFrame(rows, "case string, items int, error string")
+
+
+OPTION_ROWS = """
+  (1, 'a', 2, 1, 1.0, 0.0, 1.0), (2, '', 2, 1, 1.0, 0.0, 1.0), (3, 'a', 0, 1, 1.0, 0.0, 1.0), (4, 'a', 1, -1, 1.0, 0.0, 1.0), (5, 'a', 1, 1, -1.0, 0.0, 1.0),
+  (6, 'a', 1, 1, 1.0, -0.5, 1.0), (7, 'a', 1, 1, 1.0, 0.0, -0.1), (8, 'a', 1, 1, 1.0, 0.0, 1.5), (9, NULL, 0, 1, 1.0, 0.0, 1.0), (10, 'a', 1, 1, NULL, 0.0, 1.0)
+""".strip()
+UPDATE_ROWS = "(1, 'u', 1, 1.0), (2, '', 0, 1.0), (3, 'u', 0, 1.0), (4, 'u', 1, -1.0), (5, 'u', 3, NULL), (6, 'u', 2, 0.0)"
+
+
+def _names(n: str) -> F.Column:
+    return F.transform(F.filter(F.array(*map(F.lit, range(1, 4))), lambda i: i <= F.col(n)), lambda i: i.cast("string"))
+
+
+def option_checks(spark, sf):
+    rows = spark.sql(f"SELECT * FROM VALUES {OPTION_ROWS} AS t(id, name, n, storage_bytes, replay_seconds, materialization_seconds, quality_fraction)")
+    doubles = {c: F.col(c).cast("double") for c in ("replay_seconds", "materialization_seconds", "quality_fraction")}
+    return portfolio.validate_options(rows.withColumns(doubles).withColumn("depends_on", _names("n"))).select("id", "reason")
+
+
+def update_checks(spark, sf):
+    rows = spark.sql(f"SELECT * FROM VALUES {UPDATE_ROWS} AS t(id, name, n, expected_count)").withColumn("expected_count", F.col("expected_count").cast("double"))
+    return portfolio.validate_updates(rows.withColumn("changed_components", _names("n"))).select("id", "reason")
+
+
+def portfolio_savings(spark, sf):
+    """What each portfolio saves against rebuilding from raw."""
+    return _portfolios(spark).select("mask", six(F.col("saving_fraction")).alias("saving_fraction"))
+
+
+def portfolio_decision(spark, sf):
+    """The decision as a record."""
+    d = portfolio.choose_materializations(spark, OPTIONS, UPDATES, raw_rebuild_seconds=10.0, storage_budget_bytes=100)
+    row = (",".join(d.selected), ",".join(r.source for r in d.routes), d.storage_bytes, d.expected_seconds, round(d.saving_fraction, 6), sum(r.expected_seconds for r in d.routes))
+    return spark.createDataFrame([row], "selected string, sources string, storage_bytes long, expected_seconds double, saving_fraction double, upkeep_seconds double")
+
+
+def workload_checks(spark, sf):
+    """Workloads of which most were spoilt, each in its way, against the rules for one."""
+    kind = F.col("user_id") % 6
+    spoilt = {
+        "full_build_seconds": F.when(kind == 1, F.lit(-1.0)).otherwise(F.col("full_build_seconds")),
+        "compact_quality": F.when(kind == 2, F.lit(float("nan"))).otherwise(F.col("compact_quality")),
+        "full_quality": F.when(kind == 3, F.lit(0.0)).otherwise(F.col("full_quality")),
+        "compact_storage_fraction": F.when(kind == 4, F.lit(1.5)).otherwise(F.col("compact_storage_fraction")),
+        "cold_queries_per_build": F.when(kind != 5, F.col("cold_queries_per_build")),
+    }
+    rows = lifecycle.validate_workloads(lifecycle.decide(workloads(spark, sf).withColumns(spoilt)))
+    return rows.select("user_id", "reason", F.col("lifecycle").isNotNull().alias("decided"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_rows, finite_check, index_stats, topology_anchors, compact_positions, assign_anchors, cluster_sizes, pool_clusters,
         coalesce_pages, teacher_pool, compile_documents, maxsim_scores, search_topk, search_compiled, search_batch, contains_semi,
         unknown_anti, records_order, refine_candidates, artifact_roundtrip, artifact_offsets, artifact_digest, plan_admission,
-        plan_fingerprint, portfolio_options, portfolio_best, portfolio_routes, lifecycle_choice, break_even,
+        plan_fingerprint, portfolio_options, portfolio_best, portfolio_routes, lifecycle_choice, break_even, profile_dicts, plan_dicts,
+        plan_checks, assignment_capacity, hidden_checks, compiled_hidden, edge_clusters, edge_pages, built_items, contains_ids,
+        manifest_rejects, option_checks, update_checks, portfolio_savings, portfolio_decision, workload_checks,
     )
 }
 
@@ -374,7 +538,27 @@ def _sql() -> dict[str, str]:
         "w AS (SELECT user_id, n + (last % 97) AS full_s, n AS compact_s, (last % 7)::DOUBLE / 4 AS each, (last % 50)::DOUBLE AS cold, 0.92::DOUBLE AS fq, "
         "0.90::DOUBLE + (last % 5)::DOUBLE / 200 AS cq, 0.91::DOUBLE + (last % 3)::DOUBLE / 100 AS rq, 0.5::DOUBLE + (last % 4)::DOUBLE / 10 AS st FROM u) "
     )
-    reasons = " || ".join(f"CASE WHEN {sql} THEN '; {reason}' ELSE '' END" for reason, (sql, _) in contracts.ADMISSION.items())
+    admission = {
+        "the backbone name is empty": "coalesce(name, '') = ''",
+        "the backbone has no separable prefix and suffix": "coalesce(total_layers, 0) < 2",
+        "the split must leave both prefix and suffix layers": "NOT coalesce(split_after_layer > 0 AND split_after_layer < total_layers, false)",
+        "compact visual capacity must be smaller than Full": "NOT coalesce(compact_visual_tokens > 0 AND compact_visual_tokens < full_visual_tokens, false)",
+        "no stable hidden-state boundary is exposed": "NOT coalesce(exposes_hidden_boundary, false)",
+        "visual token topology is unavailable": "NOT coalesce(exposes_visual_topology, false)",
+        "document encoding depends on a live query": "NOT coalesce(query_independent_documents, false)",
+    }
+    reasons = " || ".join(f"CASE WHEN {sql} THEN '; {reason}' ELSE '' END" for reason, sql in admission.items())
+    canonical_of = (
+        "'{\"anchor_layout\":\"right_column_pair_per_2x2\",\"assignment\":\"global_hidden_cosine\",\"format_version\":1,\"grid_shape\":[' || r || ',' || c || "
+        "'],\"pooling\":\"cluster_mean\",\"profile\":{\"compact_visual_tokens\":8,\"exposes_hidden_boundary\":true,\"exposes_visual_topology\":true,"
+        "\"full_visual_tokens\":16,\"name\":\"toy\",\"query_independent_documents\":true,\"split_after_layer\":6,\"total_layers\":18}}'"
+    )
+    edge = built.replace("v, " + unit + " AS u FROM emb", "v, " + unit + " AS u FROM changed").replace(
+        emb,
+        f"{emb}, changed AS (SELECT e.vec_id, CASE e.vec_id % {PAGE} WHEN 0 THEN list_transform(e.v, lambda x: 0.0::DOUBLE) WHEN 5 THEN k.v ELSE e.v END AS v "
+        f"FROM emb e LEFT JOIN emb k ON k.vec_id = e.vec_id - e.vec_id % {PAGE} + 1)",
+    )
+    twice = f"twice AS (SELECT item_id, u FROM topic UNION ALL SELECT item_id || '0', u FROM topic WHERE item_id != '0')"
     canonical = contracts.CompilePlan(PROFILE, GRID).canonical
     anchors_of = lambda r, c: (
         f"SELECT '{r}x{c}' AS grid, s::INT AS slot, ((2 * ((s // 2) // {c // 2}) + s % 2) * {c} + 2 * ((s // 2) % {c // 2}) + 1)::INT AS pos FROM range({r * c // 2}) t(s)"
@@ -424,6 +608,51 @@ def _sql() -> dict[str, str]:
             "best AS (SELECT * FROM kinds WHERE q >= 0.99 AND st <= 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s, st, k) = 1) "
             "SELECT user_id, k AS lifecycle, round(s, 6) AS epoch_seconds, round(q, 6) AS quality_fraction, st AS storage_fraction FROM best"
         ),
+        "profile_dicts": f"SELECT *, true AS same FROM (VALUES {PROFILES}) t({PROFILE_COLUMNS})",
+        "plan_dicts": f"SELECT r || 'x' || c AS grid, {canonical_of} AS canonical, true AS same FROM (VALUES {', '.join(map(str, SHAPES))}) t(r, c)",
+        "plan_checks": (
+            "SELECT plan_id, CASE WHEN coalesce(name, '') = '' OR layers < 2 THEN concat_ws('; ', CASE WHEN coalesce(name, '') = '' THEN 'the backbone name is empty' END, "
+            "CASE WHEN layers < 2 THEN 'the backbone has no separable prefix and suffix' END, CASE WHEN layers <= 6 THEN 'the split must leave both prefix and suffix layers' END) "
+            "WHEN NOT coalesce(grid_rows > 0 AND grid_columns > 0 AND grid_rows % 2 = 0 AND grid_columns % 2 = 0, false) THEN 'visual grid dimensions must be positive and even' "
+            "WHEN grid_rows * grid_columns != full_tokens THEN 'visual grid does not match the Full token capacity' "
+            "WHEN compact_tokens * 2 != full_tokens THEN 'a topology-anchored plan requires 50% capacity' WHEN layout != 'right_column_pair_per_2x2' THEN 'unsupported anchor layout' "
+            "WHEN assignment != 'global_hidden_cosine' THEN 'unsupported assignment rule' WHEN pooling != 'cluster_mean' THEN 'unsupported pooling rule' "
+            f"WHEN version != 1 THEN 'unsupported compile-plan format' END AS reason FROM (VALUES {PLANS}) t({PLAN_COLUMNS})"
+        ),
+        "assignment_capacity": f"WITH {page} SELECT item_id, count(*) FILTER (pos < 16)::BIGINT AS full_visual_tokens, 8::BIGINT AS compact_visual_tokens, 8 / (count(*) FILTER (pos < 16)) AS persistent_fraction FROM tokens GROUP BY item_id",
+        "hidden_checks": (
+            f"WITH {page} SELECT DISTINCT item_id, CASE WHEN item_ord % 5 IN (2, 4) THEN 'expected a non-empty rank-2 hidden-state matrix' WHEN item_ord % 5 = 1 THEN 'hidden states must be finite' "
+            "WHEN item_ord % 5 = 3 THEN 'grid and auxiliary counts do not match hidden states' END AS reason FROM tokens"
+        ),
+        "compiled_hidden": f"WITH {built} {values}",
+        "edge_clusters": f"WITH {edge}, ids AS (SELECT DISTINCT item_id FROM tokens) SELECT i.item_id, a.slot, a.pos AS anchor_pos, count(s.pos)::BIGINT AS size FROM ids i CROSS JOIN anchors a LEFT JOIN assigned s ON s.item_id = i.item_id AND s.slot = a.slot GROUP BY ALL",
+        "edge_pages": f"WITH {edge} {values}",
+        "built_items": f"WITH {emb}, {ask}, {topic}, {twice}, {score('twice', 'ask')} SELECT item_id, score FROM scores ORDER BY exact DESC, item_id LIMIT 12",
+        "contains_ids": f"WITH {page} SELECT k AS item_id, k IN (SELECT item_id FROM tokens) AS held FROM (VALUES ('0'), ('7'), ('007'), ('-1'), ('x')) t(k)",
+        "manifest_rejects": (
+            "SELECT * FROM (VALUES ('as written', 2, NULL::VARCHAR), ('fingerprint', -1, 'compile-plan fingerprint mismatch'), ('grid', -1, 'compile-plan fingerprint mismatch'), "
+            "('counts as text', 2, NULL)) t(\"case\", items, error)"
+        ),
+        "option_checks": (
+            "SELECT id, CASE WHEN coalesce(name, '') = '' THEN 'a materialization option needs a name' WHEN n = 0 THEN 'an artifact must declare its compiled dependencies' "
+            "WHEN b < 0 THEN 'artifact storage must be non-negative' WHEN coalesce(r, -1) < 0 THEN 'replay time must be finite and non-negative' "
+            "WHEN m < 0 THEN 'materialization time must be finite and non-negative' WHEN q < 0 THEN 'quality fraction must be finite and non-negative' "
+            f"WHEN q > 1 THEN 'quality fraction cannot exceed one' END AS reason FROM (VALUES {OPTION_ROWS}) t(id, name, n, b, r, m, q)"
+        ),
+        "update_checks": (
+            "SELECT id, CASE WHEN name = '' THEN 'an update scenario needs a name' WHEN n = 0 THEN 'an update scenario must change at least one component' "
+            f"WHEN coalesce(c, -1) < 0 THEN 'expected update count must be finite and non-negative' END AS reason FROM (VALUES {UPDATE_ROWS}) t(id, name, n, c)"
+        ),
+        "portfolio_savings": f"{folio} SELECT mask, round(1 - expected_seconds / raw_baseline_seconds, 6) + 0.0 AS saving_fraction FROM cost",
+        "portfolio_decision": (
+            f"{folio} SELECT selected, (SELECT string_agg(source, ',' ORDER BY i) FROM way w WHERE w.m = mask) AS sources, storage_bytes, expected_seconds, "
+            "round(1 - expected_seconds / raw_baseline_seconds, 6) AS saving_fraction, (SELECT sum(seconds * n) FROM way w WHERE w.m = mask) AS upkeep_seconds "
+            "FROM cost ORDER BY expected_seconds, storage_bytes, k, names LIMIT 1"
+        ),
+        "workload_checks": load + (
+            "SELECT user_id, CASE WHEN user_id % 6 IN (1, 2, 5) THEN 'workload measurements must be finite and non-negative' WHEN user_id % 6 = 3 THEN 'Full quality must be positive' "
+            "WHEN user_id % 6 = 4 THEN 'compact storage fraction must be in (0, 1]' END AS reason, user_id % 6 = 0 AS decided FROM w"
+        ),
         "break_even": load + "SELECT user_id, CASE WHEN full_s - compact_s <= 0 THEN 0.0 WHEN each = 0 THEN 'inf'::DOUBLE ELSE round((full_s - compact_s) / each, 6) END AS queries FROM w",
     }
 

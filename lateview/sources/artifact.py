@@ -21,8 +21,10 @@ from lateview.operators.index import CompactIndex
 from lateview.plans.contracts import CompilePlan
 
 FORMAT_VERSION = 1
-#: Rows of a part file at most, which bounds what a task hashes at once.
-ROWS_A_FILE = 16384
+#: Bytes of vectors in a part file at most (an item that is larger stands alone), which bounds what a task hashes at once.
+FILE_BYTES = 128 << 20
+#: Ranges of items whose sums make the offsets.
+OFFSET_RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -61,14 +63,27 @@ def payload_digest(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("".join(lines).encode()).hexdigest()
 
 
+def rows_a_file(index: CompactIndex) -> int:
+    """Items of a part file, so that no file of more than one passes ``FILE_BYTES``."""
+    return max(1, FILE_BYTES // (8 * index.dimension * index.most_vectors))
+
+
 def offsets(items: DataFrame) -> DataFrame:
     """``item_ord, item_id, start, stop``: where each item's vectors lie among all, in order of items.
 
-    One narrow row an item goes through a single window, as in any running total.
+    Items fall into ranges of their order; sums of the ranges, one row each, say where a range begins, and a running sum
+    inside each does the rest, so no task sees all items.
     """
     rows = items.select("item_ord", "item_id", F.size("vectors").cast("long").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("item_ord").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("item_ord", "item_id", (upto - F.col("n")).alias("start"), upto.alias("stop"))
+    shares = [i / OFFSET_RANGES for i in range(1, OFFSET_RANGES)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("item_ord", shares)).first()[0] or []))
+    held = F.array(*(F.lit(int(c)).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
+    rows = rows.withColumn("range", F.size(F.filter(held, lambda c: c < F.col("item_ord"))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("range").agg(F.sum("n").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("begin"))
+    upto = F.col("begin") + F.sum("n").over(Window.partitionBy("range").orderBy("item_ord").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.join(F.broadcast(sums), "range")  # at most as many rows as ranges
+    return placed.select("item_ord", "item_id", (upto - F.col("n")).alias("start"), upto.alias("stop"))
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -82,7 +97,7 @@ def save_index(spark: SparkSession, path: str, index: CompactIndex, plan: Compil
     if store.exists(root):
         raise FileExistsError(path)
     rows = index.items.select("item_ord", "item_id", "vectors")
-    rows.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{path}/items")
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", rows_a_file(index)).parquet(f"{path}/items")
     manifest = IndexManifest(plan, len(index), index.vector_count, index.dimension, payload_digest(spark, f"{path}/items"))
     _, target = _file_system(spark, f"{path}/manifest.json")
     out = store.create(target, False)

@@ -69,7 +69,7 @@ def test_tiers_agree_with_brute_force(spark, bulk, shape, auxiliary):
     pages[1][grid.topology_anchors(shape)[1]] = pages[1][grid.topology_anchors(shape)[0]]  # equal anchors: slot 1 is empty
     pages[2][0] = 0  # a zero row goes to slot 0
     df = page_table(spark, *pages)
-    assigned = grid.assign(df, shape, bulk=bulk)
+    assigned = grid.assign(df, shape, auxiliary_tokens=auxiliary, bulk=bulk)
     slots = {r.item_id: [a.slot for a in r.assigned] for r in assigned.collect()}
     out = {r.item_id: np.array(r.workers) for r in grid.coalesce_hidden_states(df, shape, auxiliary_tokens=auxiliary, bulk=bulk).collect()}
     sizes = grid.clusters(assigned, shape)
@@ -103,6 +103,8 @@ def test_errors(spark):
         grid.coalesce_hidden_states(page_table(spark, np.full((16, 2), np.nan)), (4, 4))
     with pytest.raises(ValueError, match="negative"):
         grid.apply_assignment(grid.assign(page_table(spark, good), (4, 4)), (4, 4), auxiliary_tokens=-1)
+    with pytest.raises(ValueError, match="grid shape does not match"):
+        grid.assign(page_table(spark, np.ones((15, 2))), (4, 4))
     with pytest.raises(ValueError, match="do not match"):
         grid.apply_assignment(grid.assign(page_table(spark, good), (4, 4)), (4, 4), auxiliary_tokens=1)
 
@@ -112,3 +114,18 @@ def test_unit_floor(spark):
     once, twice = df.select(vec.unit_rows(F.col("hidden"), 1).alias("a"), vec.unit_rows(F.col("hidden"), 2).alias("b")).first()
     assert once[0] == [0, 0] and abs(once[1][0] - 0.1) < 1e-12 and once[2] == [0.6, 0.8]
     assert abs(twice[1][0] - 1.0) < 1e-12
+
+
+def test_faults_of_single_pages(spark):
+    df = page_table(spark, np.ones((16, 2)), np.ones((15, 2)), np.full((16, 2), np.inf), [[1.0], [1.0, 2.0]]).union(spark.sql("select 'n', null"))
+    got = {r.item_id: r.reason for r in grid.page_faults(df, 16).collect()}
+    assert got["0"] is None and "do not match" in got["1"] and "finite" in got["2"] and "rank-2" in got["3"] and "rank-2" in got["n"]
+
+
+@pytest.mark.parametrize("bulk", [False, True])
+def test_capacity_and_kept_assignment(spark, bulk):
+    page = np.random.default_rng(1).normal(size=(18, 4))
+    out = grid.coalesce_hidden_states(page_table(spark, page), (4, 4), auxiliary_tokens=2, bulk=bulk)
+    row = grid.capacity(out, (4, 4)).first()
+    assert (row.full_visual_tokens, row.compact_visual_tokens, row.persistent_fraction) == (16, 8, 0.5)
+    assert [a.slot for a in out.first().assigned] == brute(page, (4, 4), 2)[0]

@@ -2,6 +2,7 @@
 
 import json
 import pathlib
+import uuid
 
 import numpy as np
 import pytest
@@ -83,7 +84,7 @@ def test_query_dimension(small):
 def test_refine(spark, small):
     full = {"a": [[1, 0], [0.1, 0.2]], "b": QUERY, "c": C}
     called = []
-    got = index.refine_candidates(spark, small, QUERY, ["a", "b"], lambda k: called.append(k) or full[k])
+    got = index.refine_candidates(small, QUERY, ["a", "b"], lambda k: called.append(k) or full[k])
     assert called == ["a", "b"] and [(r.item_id, round(r.score, 4)) for r in got] == [("b", 2.0), ("a", 1.8944)]
     table = spark.createDataFrame([(k, [[float(x) for x in r] for r in v]) for k, v in full.items()], "item_id string, vectors array<array<double>>")
     rows = index.refine(small, QUERY, ["a", "b"], table, top_k=1).collect()
@@ -155,3 +156,79 @@ def test_changed_manifest(spark, saved, change, match):
     pathlib.Path(saved[0], ".manifest.json.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match=match):
         artifact.load_index(spark, saved[0])
+
+
+def test_numpy_tier_equals_expressions(spark):
+    rng = np.random.default_rng(11)
+    i = index.CompactIndex.of(spark, [(k, rng.normal(size=(1 + k % 5, 7))) for k in range(40)] + [("99", np.zeros((1, 7)))])
+    q = rng.normal(size=(4, 7))
+    plain = {r.item_id: r.score for r in i.scores(q, bulk=False).collect()}
+    bulk = {r.item_id: r.score for r in i.scores(q, bulk=True).collect()}
+    assert plain.keys() == bulk.keys() and max(abs(plain[k] - bulk[k]) for k in plain) < 1e-12
+    for k in (1, 5, 41, 99):
+        assert [r.item_id for r in i.search(q, top_k=k, bulk=True).collect()] == [r.item_id for r in i.search(q, top_k=k, bulk=False).collect()]
+
+
+def test_equal_scores_in_the_numpy_tier(spark):
+    i = index.CompactIndex.of(spark, [(str(k), A) for k in range(30)]).stored()
+    want = sorted(map(str, range(30)))[:7]
+    assert [r.item_id for r in i.search(QUERY, top_k=7, bulk=True).collect()] == want
+    asked = spark.createDataFrame([("q", QUERY)], "query_id string, rows array<array<double>>")
+    assert [r.item_id for r in i.search_batch(asked, top_k=7).orderBy("rank").collect()] == want
+
+
+def test_the_model_runs_once_a_document(spark, tmp_path):
+    class Counting(SliceAdapter):
+        """Leaves a file for every document that it encodes."""
+
+        def __init__(self, folder):
+            super().__init__()
+            self.folder = folder
+
+        def run_prefix(self, document, *, split_after_layer):
+            pathlib.Path(self.folder, uuid.uuid4().hex).touch()
+            return super().run_prefix(document, split_after_layer=split_after_layer)
+
+        def run_suffix(self, boundary, compact):
+            assert len(compact.assignment.compact_positions(auxiliary_tokens=2)) == len(compact.hidden_states) == 10
+            assert compact.assignment.cluster_sizes.sum() == compact.assignment.full_visual_tokens == 16
+            return super().run_suffix(boundary, compact)
+
+    (tmp_path / "calls").mkdir()
+    docs = np.random.default_rng(3).normal(size=(5, 18, 8))
+    rows = spark.createDataFrame([(i, f"p{i}", d.tolist()) for i, d in enumerate(docs)], "item_ord long, item_id string, document array<array<double>>")
+    compiler = encode.Compiler(contracts.CompilerConfig(PROFILE, GRID))
+    built = compiler.build_documents(Counting(str(tmp_path / "calls")), rows)
+    artifact.save_index(spark, str(tmp_path / "index"), built, compiler.plan)
+    for r in built.results(docs[0][:, :4], top_k=2):
+        index.refine(built, docs[0], [r], rows.select("item_id", rows.document.alias("vectors")))
+    assert len(list((tmp_path / "calls").iterdir())) == 5
+
+
+def test_pages_of_real_size(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    i = index.CompactIndex.of(spark, [(k, rng.normal(size=(518, 128))) for k in range(3)])
+    assert artifact.rows_a_file(i) == (128 << 20) // (518 * 128 * 8) == 253
+    artifact.save_index(spark, str(tmp_path / "big"), i, contracts.plan_topology_anchored(PROFILE, grid_shape=GRID))
+    loaded, manifest = artifact.load_index(spark, str(tmp_path / "big"))
+    assert manifest.vector_count == 3 * 518 and len(loaded) == 3
+    q = rng.normal(size=(8, 128))
+    assert [r.item_id for r in loaded.results(q, top_k=1)] == [r.item_id for r in i.results(q, top_k=1)]
+
+
+def test_candidates_may_be_results(spark, small):
+    table = spark.createDataFrame([("a", [[1.0, 0.0], [0.1, 0.2]]), ("b", QUERY)], "item_id string, vectors array<array<double>>")
+    best = small.results(QUERY, top_k=2)
+    assert [r.item_id for r in index.refine(small, QUERY, best, table).collect()] == ["b", "a"]
+    assert [r.item_id for r in index.refine_candidates(small, QUERY, best, {"a": A, "b": QUERY}.get)] == ["b", "a"]
+    with pytest.raises(KeyError, match="no full vectors: c"):
+        index.refine(small, QUERY, ["a", "c"], table)
+
+
+def test_offsets_over_many_ranges(spark):
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 6, size=700)
+    i = index.CompactIndex.of(spark, [(k, np.ones((n, 2))) for k, n in enumerate(sizes.tolist())])
+    rows = artifact.offsets(i.items).orderBy("item_ord").collect()
+    ends = np.cumsum(sizes).tolist()
+    assert [r.stop for r in rows] == ends and [r.start for r in rows] == [0, *ends[:-1]]
