@@ -27,8 +27,9 @@ from lateview.llm.pieces import MODEL, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
-#: Buckets of words for each shuffle partition of the session: they, and so what a bucket holds, follow the cluster's setting.
-BUCKETS_PER_PARTITION = 4
+#: Partitions of words for each shuffle partition of the session, as a word's edges take far more room than the word,
+#: and buckets for each of them: they, and so what a bucket holds, follow the cluster's setting.
+WORD_PARTITIONS, BUCKETS_PER_PARTITION = 4, 4
 #: Code points up to which neighbours are looked up in a square table.
 DENSE = 0x250
 
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     pieces = Pieces(model)
     letters, spelt = Letters(pieces.joined), pa.array(pieces.spelt, pa.large_binary())
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work
+    parts = WORD_PARTITIONS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work
     buckets = BUCKETS_PER_PARTITION * parts
 
     def words_of(block: int, held: pa.Table) -> pa.RecordBatch:
