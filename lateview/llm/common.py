@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lateview.sources.shared import discard, write_shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; any path that Spark itself can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a folder of this machine serves.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "checkpoints", "lateview")
-
-
-def write_shared(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, is computed once, and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lateview-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each; a longer value stands alone."""
     for batch in batches:
@@ -54,6 +34,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20)
         yield batch.slice(start)
 
 
+def binary_array(offsets: np.ndarray, data) -> pa.Array:
+    """The values between ``offsets`` of ``data``, without a copy of the data."""
+    at = pa.py_buffer(np.ascontiguousarray(offsets, np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, at, data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def value_offsets(values: pa.Array) -> np.ndarray:
+    """Where the values of a large binary array without nulls begin and end in its data."""
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[np.ndarray]]:
+    """Sorted batches as numpy columns, cut only where the first ``columns`` columns change."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        change = np.zeros(len(cols[0]), bool)
+        for i, c in enumerate(cols[:columns]):
+            change[1:] |= c[1:] != c[:-1]
+            change[0] |= bool(held) and held[-1][i][-1] != c[0]
+        at = np.flatnonzero(change)
+        if len(at):
+            held.append([c[: at[-1]] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([c[at[-1] if len(at) else 0 :] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: edges ``a, b`` (long) to ``node, root``.
 
@@ -76,7 +88,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = e
         e = write_shared(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         now = state(e)
         if now == before:
             break

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateview.llm.common import slices, table
+from lateview.llm.common import binary_array, slices, table, value_offsets
 from lateview.llm.pieces import MODEL, Pieces
 
 #: Bytes of text in a block (a longer text is a block of its own).
@@ -111,20 +111,9 @@ class Letters:
         return out
 
 
-def _binary(offsets: np.ndarray, data) -> pa.Array:
-    """The values between ``offsets`` of ``data``, without a copy of the data."""
-    at = pa.py_buffer(np.ascontiguousarray(offsets, np.int64))
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, at, data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
-
-
-def _offsets(values: pa.Array) -> np.ndarray:
-    """Where the values of a large binary array without nulls begin and end in its data."""
-    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-
-
 def _hashes(values: pa.Array) -> np.ndarray:
     """A hash of each value, none of which is empty, as the sum of its bytes times powers of an odd number."""
-    at = _offsets(values)
+    at = value_offsets(values)
     data = np.frombuffer(values.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
@@ -153,12 +142,12 @@ class Words:
         new[starts[:-1][np.diff(starts) > 0]] = True
         at = np.flatnonzero(new)
         self.ends = np.searchsorted(at, starts)
-        coded = _binary(np.append(at, len(data)), self.data).dictionary_encode()
+        coded = binary_array(np.append(at, len(data)), self.data).dictionary_encode()
         self.tokens = coded.indices
         names = coded.dictionary
 
         # the distinct pre-tokens, cut where no piece crosses
-        bounds = _offsets(names)
+        bounds = value_offsets(names)
         raw = names.buffers()[2]
         spelt = np.frombuffer(raw, np.uint8)[: bounds[-1]] if len(names) else np.zeros(0, np.uint8)
         first = np.flatnonzero((spelt & 0xC0) != 0x80)  # bytes that begin a character
@@ -168,7 +157,7 @@ class Words:
         cut[1:-1] |= ~letters.joined(points[:-1], points[1:]) if len(points) else False
         begin = np.append(first, len(spelt))[np.flatnonzero(cut)]
         self.part_at = np.searchsorted(begin, bounds)
-        parts = _binary(begin, raw if len(names) else b"").dictionary_encode()
+        parts = binary_array(begin, raw if len(names) else b"").dictionary_encode()
         words = parts.dictionary
         bucket = ((_hashes(words) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -181,14 +170,14 @@ class Words:
     def joined(self) -> tuple[np.ndarray, pa.Array]:
         """The buckets that hold words, and their words, one to a line. The word that is a line feed stands as nothing."""
         head = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(self.bucket) else np.zeros(0, np.int64)
-        words = pc.if_else(pc.equal(self.words, b"\n"), pa.scalar(b"", pa.large_binary()), self.words)
+        words = pc.if_else(pc.equal(self.words, b"\n"), pa.scalar(b"", pa.largebinary_array()), self.words)
         lists = pa.LargeListArray.from_arrays(pa.array(np.append(head, len(words)), pa.int64()), words)
-        return self.bucket[head], pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary()))
+        return self.bucket[head], pc.binary_join(lists, pa.scalar(b"\n", pa.largebinary_array()))
 
     def encode(self, codes: pa.Array) -> pa.Array:
         """The ids of every text, one text after another, from the ids of ``words`` (four bytes each): a value for each pre-token."""
         parts = codes.take(pa.array(self.parts))
-        return _binary(_offsets(parts)[self.part_at], parts.buffers()[2]).take(self.tokens)
+        return binary_array(value_offsets(parts)[self.part_at], parts.buffers()[2]).take(self.tokens)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -204,7 +193,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
 
 
 def _texts(held: pa.Table) -> list[bytes | None]:
-    return held["text"].cast(pa.large_binary()).to_pylist()
+    return held["text"].cast(pa.largebinary_array()).to_pylist()
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, schema: str, made) -> DataFrame:
@@ -228,7 +217,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     not cut the same blocks, as of a frame whose order changes, the job fails and gives no wrong ids.
     """
     pieces = Pieces(model)
-    letters, spelt = Letters(pieces.joined), pa.array(pieces.spelt, pa.large_binary())
+    letters, spelt = Letters(pieces.joined), pa.array(pieces.spelt, pa.largebinary_array())
     parts = WORD_PARTITIONS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work
     buckets = BUCKETS_PER_PARTITION * parts
 
@@ -247,7 +236,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The codes of each block's words of one bucket: digest of the words, ids of each, the ids."""
         names = pc.if_else(pc.equal(right["word"], "\n"), "", right["word"]).combine_chunks()
-        codes = right["code"].combine_chunks().cast(pa.large_binary())
+        codes = right["code"].combine_chunks().cast(pa.largebinary_array())
         squeeze = zstandard.ZstdCompressor(level=1)
         blobs = []
         for words in left["words"]:
@@ -255,7 +244,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             if at.null_count:
                 raise ValueError("a word without a path")
             got = codes.take(at)
-            ends = _offsets(got)
+            ends = value_offsets(got)
             data = got.buffers()[2]
             blobs.append(squeeze.compress(b"".join([
                 xxhash.xxh64_digest(words.as_py()), np.uint32(len(got)).tobytes(), (np.diff(ends) // 2).astype("<u4").tobytes(),
@@ -281,13 +270,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             counts.append(np.frombuffer(b, "<u4", n, 12))
             ids.append(np.frombuffer(b, ">u2", -1, 12 + 4 * n))
         ends = np.cumsum(np.r_[0, np.concatenate(counts).astype(np.int64)]) * 4
-        codes = _binary(ends, np.concatenate(ids).astype("<i4").tobytes())
+        codes = binary_array(ends, np.concatenate(ids).astype("<i4").tobytes())
         coded = words.encode(codes)
-        at = _offsets(coded)
+        at = value_offsets(coded)
         flat = np.frombuffer(coded.buffers()[2] or b"", "<i4")[at[0] // 4 : at[-1] // 4]
         ends = (at - at[0])[words.ends] // 4
         back = spelt.take(pa.array(flat))
-        stops = _offsets(back)
+        stops = value_offsets(back)
         if (stops[ends] - stops[0] == words.starts).all() and bytes(back.buffers()[2] or b"")[stops[0] : stops[-1]] == words.data:
             ok = [True] * len(texts)
         else:

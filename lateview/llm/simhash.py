@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateview.llm.common import connected_components, slices, table, write_shared
+from lateview.llm.common import connected_components, slices, table, whole_buckets, write_shared
 
 #: Shingles hashed at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 16
@@ -191,27 +191,6 @@ def _bucket_edges(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, masks: list
     return out
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[np.ndarray]]:
-    """Sorted batches as numpy columns, cut only where the first ``columns`` columns change."""
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        change = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:columns]:
-            change |= c[1:] != c[:-1]
-        at = np.flatnonzero(change)
-        cut = at[-1] + 1 if len(at) else 0
-        if cut:
-            yield [c[:cut] for c in cols]
-        held = [c[cut:] for c in cols]
-    if held is not None:
-        yield held
-
-
 def links(fps: DataFrame, bits: int = 64, radius: int = 3) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints of ``fps.fp`` that connect whatever lies within ``radius`` bits.
 
@@ -263,253 +242,3 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its 3-word SimHash and its component under links of at most 3 bits."""
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Near-duplicate texts: SimHash proposes, five-word shingles decide.
-
-#: Fingerprints of distinct words: so many tables of so many bits, two bits of which may differ.
-TABLES, BITS = 4, 40
-
-
-def _word_codes(text: bytes | None) -> list[int]:
-    """One fingerprint of ``BITS`` bits for each table, over the text's distinct words."""
-    found = list(set((text or b"").lower().split()))
-    if not found:
-        return [0] * TABLES
-    balance = np.zeros(64 * 3, np.int64)
-    for s in range(0, len(found), BLOCK):
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in found[s : s + BLOCK]), np.uint64)
-        mixed = np.stack([_mix(h ^ np.uint64(k)) for k in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], axis=1)
-        bits = np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(len(h), -1), axis=1)
-        balance += bits.sum(axis=0, dtype=np.int64)
-    on = (2 * balance > len(found))[: TABLES * BITS].reshape(TABLES, BITS)
-    return (on.astype(np.int64) << np.arange(BITS)).sum(axis=1).tolist()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _shingles(text: bytes | None, words: int) -> np.ndarray:
-    """The distinct word shingles of a text, as sorted hashes."""
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.int64)
-    grams = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) > words else [b" ".join(found)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64).view(np.int64))
-
-
-#: Texts whose shingles are counted to tell common from rare ones; shingles of a text, and common shingles held, at most.
-COUNTED, COUNTED_SHINGLES, COMMON = 8192, 4096, 1 << 17
-#: Members of a crowd that one task pairs with each other or with as many others.
-CROWD = 1024
-
-
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the shingles that a bounded sample of ``node, text`` holds thrice or more, and how often.
-
-    They only say in which order shingles stand in a prefix. Any order gives the same pairs; this one keeps buckets small.
-    """
-    rate = min(1.0, COUNTED / max(1, texts.count()))
-    drawn = texts.where(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(rate * (1 << 40))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE):
-            found = [_shingles(t.as_py(), words)[:COUNTED_SHINGLES] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["s"])
-
-    counts = drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    rows = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-
-
-def _prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """The first shingles of a text, rare ones first: two texts at ``threshold`` have one of them in common."""
-    keep = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
-    often = np.zeros(len(s), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
-        often = np.where(common[0][at] == s, common[1][at], 0)
-    return s[np.lexsort((s, often))[:keep]]
-
-
-def _within(threshold: float, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether texts i and j of n shingles may reach ``threshold`` if their first common one has place ``at`` in each."""
-    most = np.minimum(n[i] - at[i], n[j] - at[j])
-    return most * (1 + threshold) >= threshold * (n[i] + n[j]) - 1e-6
-
-
-def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs ``a, b``, and the members ``a, key, at, n, many`` of crowds, of prefix rows ``key, at, node, n``.
-
-    In a bucket of up to ``SMALL`` texts all pairs are candidates. In a crowd each text is held
-    against its neighbour and against the one with the fewest rare shingles, as is the template
-    of many copies; the crowd's members come out for ``crowd_pairs`` to deal with the rest.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, at, node, n in whole_buckets(batches, 1):
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies are one
-            key, at, node, n = key[new], at[new], node[new], n[new]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[head, len(key)])
-            where, run = np.repeat(head, size), np.repeat(size, size)
-            crowd = np.flatnonzero(run > SMALL)
-            pairs = [(where[crowd], crowd)]
-            for d in range(1, SMALL):
-                if len(key) <= d:
-                    break
-                i = np.flatnonzero((where[d:] == where[:-d]) & ((run[d:] <= SMALL) | (d == 1)))
-                if not len(i):
-                    break
-                pairs.append((i, i + d))
-            i, j = (np.concatenate(x) for x in zip(*pairs))
-            ok = (i != j) & _within(threshold, n, at, i, j)
-            found = np.unique(np.stack([np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]]), axis=1)
-            none = pa.nulls(found.shape[1], pa.int64())
-            names = ["a", "b", "key", "at", "n", "many"]
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), none, none, none, none], names)
-            columns = [node[crowd], key[crowd], at[crowd], n[crowd], run[crowd]]
-            first, *rest = (pa.array(c.astype(np.int64)) for c in columns)
-            yield pa.RecordBatch.from_arrays([first, pa.nulls(len(crowd), pa.int64()), *rest], names)
-
-    kind = "a long, b long, key long, at long, n long, many long"
-    return rows.repartition("key").sortWithinPartitions("key", "at", "node").mapInArrow(run, kind)
-
-
-def crowd_pairs(crowds: DataFrame, threshold: float) -> DataFrame:
-    """All further candidates ``a, b`` of the crowds: ``node, key, at, n, many, root``, but for pairs of one root.
-
-    A crowd is dealt in blocks of about ``CROWD`` members, every two of which meet in a bucket of their own.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_buckets(batches, 3):
-            ends = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0), True])
-            for x, z in zip(ends[:-1], ends[1:]):
-                _, low, high, n, at, node, root, block = (c[x:z] for c in columns)
-                last = np.searchsorted(n, n / threshold + 1e-6, "right")  # by size: what is larger cannot be near
-                start = 0
-                while start < len(n):
-                    ahead = np.maximum(last[start:] - np.arange(start, len(n)) - 1, 0)
-                    take = max(1, int(np.searchsorted(np.cumsum(ahead), 1 << 20)))
-                    ahead = ahead[:take]
-                    i = np.repeat(np.arange(start, start + len(ahead)), ahead)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
-                    start += take
-                    ok = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & _within(threshold, n, at, i, j)
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        pair = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair], ["a", "b"])
-
-    mixed = crowds.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r != _s")
-    blocks = F.ceil(F.col("many") / CROWD)
-    dealt = crowds.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "at", "node", "root", "block")
-    met = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "node")
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``node, root`` for texts with near-duplicates, but for roots themselves: node is ``xxhash64(text)``.
-
-    Near-duplicates share at least ``threshold`` of their distinct ``words``-word shingles
-    (Jaccard). Candidates are texts whose SimHash over distinct words differs in at most two of
-    40 bits in one of four tables, which links most copies at little cost, and texts whose
-    prefixes meet: with shingles in one order for all texts, two texts at the
-    threshold have a shingle in common among the first fifth of either. Every candidate is
-    verified on whole texts. A crowd (a bucket of more than 16 texts) is met twice: each text
-    with the first and its neighbour, and then all pairs that are not in one group by then.
-    Texts without words are near no other.
-    """
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE):
-            fp = [_word_codes(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.list_(pa.int64()))], ["node", "codes"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, node in whole_buckets(batches):
-            new = np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])]
-            head = np.flatnonzero(new)
-            run = np.diff(np.r_[head, len(key)])
-            where = np.repeat(head, run)
-            small = np.repeat(run <= SMALL, run)
-            found = [(node[where[~new]], node[~new])]
-            for d in range(1, SMALL):
-                if len(node) <= d:
-                    break
-                i = np.flatnonzero((where[d:] == where[:-d]) & (small[d:] | (d == 1)))
-                if not len(i):
-                    break
-                found.append((node[i], node[i + d]))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE):
-            node = b.column(0).to_numpy()
-            sets = [_shingles(t.as_py(), words) for t in b.column(1)]
-            first = [_prefix(s, held.value, threshold) if len(s) else s for s in sets]
-            many = np.array([len(f) for f in first])
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            columns = [np.concatenate(first), at.astype(np.int32), np.repeat(node, many), np.repeat([len(s) for s in sets], many).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "at", "node", "n"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE):
-            found = [_shingles(t.as_py(), words) for t in b.column(1)]
-            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            s = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), s], ["node", "s"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, s array<long>")
-        chosen = write_shared(chosen).dropDuplicates(["node"])
-        left = pairs.join(chosen.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(chosen.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        near = both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).where(F.size("sa") > 0)
-        return write_shared(near.select("a", "b"))
-
-    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
-    coded = write_shared(texts.mapInArrow(codes, "node long, codes array<long>")).dropDuplicates(["node"])
-    rows = coded.select("node", F.posexplode("codes").alias("t", "fp")).where("fp != 0")
-    rows = variants(rows, BITS, 2).select("t", "variant", "node")
-    met = rows.repartition("variant", "t").sortWithinPartitions("t", "variant", "node").mapInArrow(meet, "a long, b long")
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, words))  # bounded by COMMON
-    firsts = texts.mapInArrow(prefixes, "key long, at int, node long, n int")
-    more = write_shared(prefix_pairs(firsts, threshold))
-    pairs = met.unionByName(more.where("b is not null").select("a", "b")).where("a != b").distinct()
-    near = verified(write_shared(pairs))
-    roots = connected_components(near)
-    crowds = more.where("b is null").select(F.col("a").alias("node"), "key", "at", "n", "many").join(roots, "node", "left")
-    rest = verified(write_shared(crowd_pairs(crowds.withColumn("root", F.coalesce("root", "node")), threshold)))
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
-    return connected_components(links)
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal or near-equal texts: that of the smallest id.
-
-    Columns stay as they are. Null equals null and empty equals empty. A null id counts as larger
-    than any; of repeated rows one stays. Rows are told apart by their place in the table, so
-    ``docs`` must be one that reads back in the same order, as any written table does.
-    The texts of the table are shuffled once, and neither sorted nor aggregated.
-    """
-    place = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("near"), place.alias("place"))
-    roots = near_duplicates(docs, text_col)
-    rows = rows.join(roots, rows.near == roots.node, "left").withColumn("group", F.coalesce("root", "near"))
-    best = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("place"))).alias("w"))
-    best = best.select(F.col("w.place").alias("_kept"))
-    held = {f"_c{i}": c for i, c in enumerate(docs.columns)}
-    marked = docs.select(*(F.col(c).alias(k) for k, c in held.items()), place.alias("_place"))
-    kept = marked.join(best.hint("shuffle_hash"), F.col("_place") == F.col("_kept"), "left_semi")
-    return kept.select(*(F.col(k).alias(c) for k, c in held.items()))
