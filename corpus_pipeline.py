@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateview.llm import langid, mixing, pii, sentencepieces, simhash
+from lateview.llm import langid, mixing, near, pii, sentencepieces
 from lateview.llm.common import write_shared
 
 
@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal, or share 80 % of their five-word shingles."""
-    return simhash.drop_near_duplicates(docs)
+    return near.drop_near_duplicates(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
