@@ -15,6 +15,14 @@ from lateview.llm.common import table, write_shared
 #: Bits of a document's hash that each level refines.
 LEVELS = (12, 12, 12)
 BITS = sum(LEVELS)
+#: Sources up to which a table of one short row each is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
+
+
+def _beside(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``table`` (written, one row a source, under ``key``) for their source: broadcast where its rows are counted as few."""
+    few = table.count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col(key)), how)
 
 
 def target_sizes(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
@@ -55,11 +63,10 @@ def thresholds(rows: DataFrame, weights: list[int], share: float, most: int) ->
     plan = plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = write_shared(plan.withColumnRenamed("source", "s"))  # one row for each source
 
-    edge = plan.select("s", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))
+    edge = plan.select("s", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))  # one row a source at every level
     left = BITS
     for bits in LEVELS:
-        inside = rows.join(edge, F.col("source").eqNullSafe(F.col("s")))
-        inside = inside.where(F.shiftright("h", left) == F.col("prefix"))
+        inside = _beside(rows, edge, "s").where(F.shiftright("h", left) == F.col("prefix"))
         left -= bits
         cells = inside.groupBy("s", "budget", "base", F.shiftright("h", left).alias("cell")).agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -70,7 +77,8 @@ def thresholds(rows: DataFrame, weights: list[int], share: float, most: int) ->
         edge = write_shared(edge)
     nearer = F.col("sum") - F.col("budget") < F.col("budget") - F.col("base")
     edge = edge.select(F.col("s").alias("e"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
-    return plan.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "whole", "threshold")
+    plan = plan.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "whole", "threshold")
+    return write_shared(plan)
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[F.Column]:
@@ -97,21 +105,23 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col
     """
     rows = write_shared(docs.select(F.col(id_col).alias("id"), *_measured(docs, id_col, text_col, source_col)))
     plan = thresholds(rows, weights, share, most)
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    rows = _beside(rows, plan, "s")
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _times().alias("times"))
 
 
 def take(docs: DataFrame, weights: list[int], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them, with their own columns.
 
-    Texts are not shuffled: each row is held against its source's threshold, and what is taken
-    twice is repeated. A source's threshold comes by a join on the source alone.
+    Texts are not shuffled, as long as the sources are few enough to be broadcast: each row is held against its source's
+    threshold, and what is taken twice is repeated. Null texts and texts without words have size 0 and are taken as often as their
+    hash says; repeated rows and rows with null ids stand or fall together; columns named like those used here stay as they are;
+    an empty table gives no rows.
     """
     rows = write_shared(docs.select(*_measured(docs, id_col, text_col, source_col)))
-    plan = thresholds(rows, weights, share, most).select("s", "whole", "threshold")
+    plan = thresholds(rows, weights, share, most)
     held = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     marked = docs.select(*(F.col(c).alias(k) for k, c in held.items()), *_measured(docs, id_col, text_col, source_col))
-    marked = marked.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("_times", _times().cast("int"))
+    marked = _beside(marked, plan, "s").withColumn("_times", _times().cast("int"))
     again = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
     return marked.select(*held, again.alias("_again")).select(*(F.col(k).alias(c) for k, c in held.items()))
 
