@@ -177,21 +177,45 @@ def test_automaton_knows_exactly_the_substrings():
 def test_phrases_are_longest_matches():
     samples = ("abcabd abd cab", "dcba dcb")
     parser = langid.Parser({"x": [samples[0]], "y": [samples[1]]})
-    texts = ["abcabdabd", "ddd cab", "zzz", "a" * 600, "Dcb abd, zz dcba" * 40, "q"]
+    rng = random.Random(20)
+    texts = ["abcabdabd", "ddd cab", "zzz", "a" * 600, "Dcb abd, zz dcba" * 40, "q", "abd" * 200, "日本 abd 語" * 90, ""]
+    texts += ["".join(rng.choices("abcd zé日", k=rng.randint(200, 1500))) for _ in range(30)]
     got = parser.phrases([parser.encode(t) for t in texts])
     for k, sample in enumerate(samples):
-        train = bytes(parser.encode(sample).tolist())
+        train = bytes(parser.code[k][parser.encode(sample)])
         for i, text in enumerate(texts):
-            codes, n = bytes(parser.encode(text).tolist()), 0
-            for s in range(0, len(codes), langid.BLOCK):
-                n, match = n + 1, b""
-                for c in codes[s : s + langid.BLOCK]:
-                    match += bytes([c])
-                    if match not in train:  # the symbol that ends a match starts the next phrase
-                        n, match = n + 1, bytes([c]) if bytes([c]) in train else b""
+            codes, n, match = bytes(parser.code[k][parser.encode(text)]), 1 if text else 0, b""
+            for c in codes:  # over the whole text
+                match += bytes([c])
+                if match not in train:  # the symbol that ends a match starts the next phrase
+                    n, match = n + 1, bytes([c]) if bytes([c]) in train else b""
             assert got[k, i] == n, (sample, text)
 
 
+def test_scripts_do_not_collapse(spark):
+    rng = random.Random(21)
+    kinds = {"zh": range(0x4E00, 0x5600), "ko": range(0xAC00, 0xB400), "ja": [*range(0x3041, 0x3090), *range(0x6000, 0x6400)], "en": range(97, 123)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(2, 4))) for _ in range(400)] for k, v in kinds.items()}
+    text = lambda k: " ".join(rng.choices(words[k], k=60))
+    rows = [(i, text(k), k if i < 160 else None) for i, k in enumerate([*kinds] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.train(df)).collect()}
+    right = sum(out[i] == [*kinds][i % 4] for i in range(240))
+    assert right >= 235
+
+
+def test_draws_from_null_and_repeated_ids(spark):
+    rng = random.Random(22)
+    syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ver"]}
+    text = lambda k: " ".join("".join(rng.choices(syllables[k], k=3)) for _ in range(30))
+    for one in (None, 7):
+        rows = [(one, text(k), k) for k in ["aa", "bb"] * 300] + [(one, "muu muu", "cc")] * 500
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert langid.train(df).languages == ["aa", "bb", "cc"]
+    long = spark.createDataFrame([(1, text("bb") * 2000, None), (2, text("bb"), None), (2, text("bb"), None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.predict(long, langid.train(df)).collect()] == ["bb"] * 3
+
+
 def test_language_and_und(spark):
     rng = random.Random(6)
     syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["é", "ço", "eau", "que"]}
