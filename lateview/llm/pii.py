@@ -4,12 +4,13 @@ Regular expressions propose candidates; labelers (pattern, validity, gazetteer,
 boundary) vote for, against or not at all; expectation-maximisation over the counts of all vote
 patterns in the corpus estimates how reliable each labeler is; the posteriors train a logistic
 span classifier on categorical features. Base spans (the strict patterns) always stand; the
-classifier decides on the wider candidates.
+classifier decides on the wider candidates: veiled e-mail, local phone, long IP, bank account and
+social security numbers, and secrets (what a key, token or password is set to, and the shapes of well-known keys).
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from lateview.llm.common import slices, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with a base pattern, and those that the method alone finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "iban", "ssn")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +43,20 @@ _VEILED = re.compile(
 _LONG_IP = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\s?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 
+# a name that speaks of a secret, then what it is set to
+_ASSIGNED = re.compile(
+    r"(?i:token|secret|passwor[dt]|passwd|passphrase|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|client[ _-]?key|credentials?|authorization|bearer)"
+    r"[\"']?(?:\s{0,2}[:=]>?\s{0,2}(?i:bearer\s)?|\s(?=[A-Za-z0-9_+/=.~-]{24}))[\"']?([A-Za-z0-9_+/=.~!@#$%^&*-]{8,512})"
+)
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|sk_(?:live|test)_[A-Za-z0-9]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}"
+    r"|eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,32}PRIVATE KEY-----)"
+)
+_NAMED = ("token", "secret", "passwor", "passwd", "passphrase", "pwd", "key", "credential", "authorization", "bearer")
+_KEYED = ("AKIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "sk_", "xox", "eyJ", "PRIVATE KEY")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![0-9A-Za-z+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+
 #: Small gazetteers of the labelers, and words that speak for or against a kind just before a span.
 _TOP = frozenset("com org net edu gov io de fr es it uk us eu info biz co ch at nl be".split())
 _PREFIX = re.compile(r"3[47]|4|5[1-5]|2[2-7]|6")
@@ -49,8 +66,13 @@ _FOR = {
     "ip": re.compile(r"\bip\b|host|server|address|login|adresse", re.I),
     "card": re.compile(r"card|visa|credit|payment|karte|carte|tarjeta", re.I),
     "phone": re.compile(r"phone|call|tel\b|mobile|fax|telefon|appel", re.I),
+    "secret": re.compile(r"token|secret|pass|pwd|key|credential|auth|bearer|login", re.I),
+    "iban": re.compile(r"iban|account|bank|konto|compte|cuenta|transfer", re.I),
+    "ssn": re.compile(r"\bssn\b|social|security|insured|taxpayer", re.I),
 }
-_AGAINST = re.compile(r"version|release|isbn|order|serial|build|chapter|section", re.I)
+_AGAINST = re.compile(r"version|release|isbn|order|serial|build|chapter|section|example|placeholder|sample", re.I)
+#: Countries whose account numbers begin with their code.
+_BANKS = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split())
 
 
 def _luhn(digits: str) -> bool:
@@ -66,6 +88,18 @@ def _octets(text: str) -> bool:
     return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in text.split(".")))
 
 
+def _entropy(text: str) -> float:
+    """Bits a character."""
+    n = len(text)
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+
+
+def _remainder(account: str) -> int:
+    """Of a bank account number by 97; 1 if it is sound."""
+    moved = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -87,10 +121,14 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
 def candidates(t: str) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, form`` of all candidates: form ``base``, ``failed`` (base shape, failed check) or ``wide``."""
     out = [(a, b, "email", "base") for a, b in _emails(t)] if "@" in t else []
-    low = None
+    low: list[tuple[int, int, str, str]] = []
     plain = t.lower()
     if "(at)" in plain or "[at]" in plain or "{at}" in plain or " at " in plain and any(d in plain for d in ("(dot)", "[dot]", "{dot}", " dot ")):
-        low = [(m.start(), m.end(), "email", "wide") for m in _VEILED.finditer(t)]
+        low += [(m.start(), m.end(), "email", "wide") for m in _VEILED.finditer(t)]
+    if any(name in plain for name in _NAMED):
+        low += [(*m.span(1), "secret", "wide") for m in _ASSIGNED.finditer(t)]
+    if any(mark in t for mark in _KEYED):
+        low += [(*m.span(), "secret", "wide") for m in _KEY.finditer(t)]
     if _DIGIT.search(t):
         if "." in t:
             for m in _IP.finditer(t):
@@ -103,10 +141,12 @@ def candidates(t: str) -> list[tuple[int, int, str, str]]:
         if "+" in t:
             for m in _PHONE.finditer(t):
                 out.append((*m.span(), "phone", "base" if 10 <= len(_digits(m.group())) <= 15 else "failed"))
-        wide = [(*m.span(), "phone", "wide") for m in _LOCAL_PHONE.finditer(t)]
+        low += [(*m.span(), "phone", "wide") for m in _LOCAL_PHONE.finditer(t)]
+        low += [(*m.span(), "iban", "wide") for m in _IBAN.finditer(t)]
+        if "-" in t:
+            low += [(*m.span(), "ssn", "wide") for m in _SSN.finditer(t)]
         if ":" in t:
-            wide += [(*m.span(), "ip", "wide") for m in _LONG_IP.finditer(t)]
-        low = (low or []) + wide
+            low += [(*m.span(), "ip", "wide") for m in _LONG_IP.finditer(t)]
     if low:  # a wide candidate gives way to what it overlaps
         low.sort()
         taken = sorted((a, b) for a, b, _, f in out if f == "base")
@@ -140,6 +180,17 @@ def votes_and_features(t: str, start: int, end: int, kind: str, form: str) -> tu
     elif kind == "phone":
         valid = "+" if 10 <= len(d) <= 15 else "-"
         listed = "+" if (_COUNTRIES.match(d) if s[0] == "+" else d[0] not in "01") else "-"
+    elif kind == "secret":
+        # made by a machine: many different characters, letters and digits mixed
+        valid = "+" if len(s) >= 16 and _entropy(s[:512]) >= 3 else "-"
+        listed = "+" if _KEY.match(s) or (d and re.search("[A-Za-z]", s)) else "-"
+    elif kind == "iban":
+        account = s.replace(" ", "")
+        valid = "+" if 15 <= len(account) <= 34 and _remainder(account) == 1 else "-"
+        listed = "+" if account[:2] in _BANKS else "-"
+    elif kind == "ssn":
+        valid = "+" if d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000" else "-"
+        listed = "-" if d[0] == "9" else "0"
     else:
         valid = "+" if s[0] not in ".-%+" and ".." not in s else "-"
         listed = "+" if re.split(r"[^A-Za-z0-9]+", s.lower())[-1] in _TOP else "0"
@@ -263,7 +314,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, such as ``<EMAIL>``.
 
-    Overlapping spans become one. All other columns, and texts without spans, stay as they are.
+    Overlapping spans become one. All other columns, whatever their names, and texts without spans stay as they are; null and
+    empty texts have no spans; repeated rows stay and are treated alike; an empty table gives no rows.
     """
     find = span_finder(train(docs, text_col))
     at = docs.columns.index(text_col)
@@ -296,7 +348,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
-        *(count(k) for k in KINDS),
+        *(count(k) for k in BASE_KINDS),
         F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", text), ",").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
