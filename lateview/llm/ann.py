@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 
 from lateview.llm.common import table
 
-#: Rows and queries of a block; projections; share of windows that a vector must lie in; step of the radius.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Rows of a block at least, and bytes of its vectors at most; queries that meet a block at once at most, and those whose windows are held at once.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_QUERIES, HELD_QUERIES = 4096, 32 << 20, 16384, 256
+#: Projections; share of windows that a vector must lie in; step of the radius.
 LINES, SHARE, STEP = 64, 0.5, 1.4
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances, their squares summed component after component."""
+    apart = (vectors - query) ** 2
+    return np.sqrt(np.add.accumulate(apart, axis=1)[:, -1])
+
+
 class Block:
     """The sorted projections of one block of vectors."""
 
@@ -45,6 +52,10 @@ class Block:
 
     def search(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the positions and distances of the k nearest found, ties to the smaller id; ``own`` is left out (-1: none)."""
+        parts = range(0, len(queries), HELD_QUERIES)
+        return [x for s in parts for x in self._search(queries[s : s + HELD_QUERIES], k, ids, own[s : s + HELD_QUERIES])]
+
+    def _search(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         n, m = len(self.vectors), len(queries)
         centre = np.ascontiguousarray(self.lines @ queries.T)
         need = int(np.ceil(SHARE * LINES))
@@ -84,7 +95,7 @@ class Block:
 
     def _best(self, query: np.ndarray, k: int, ids: np.ndarray, found: np.ndarray, gone: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best of what was found and what ``hit`` turns out to be, by true distance and then id."""
-        d = np.sqrt(((self.vectors[hit] - query) ** 2).sum(axis=1))
+        d = distances(self.vectors[hit], query)
         if len(found) == k:
             near = d <= gone[-1]
             hit, d = hit[near], d[near]
@@ -102,8 +113,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
     A query's own row is no candidate; a copy of it under the same id is. Ties go to the smaller
     id. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do rows without an id; vectors of another length are never compared. Fewer candidates
-    than k give fewer rows; no queries or an empty table give none. Each pair of a block of rows and a
-    block of queries is one task's work; rows and queries are dealt at random, so copies spread.
+    than k give fewer rows; no queries or an empty table give none. Very long vectors make smaller blocks; other columns are not
+    read. Each pair of a block of rows and a block of queries is one task's work; rows and queries are dealt at random, so copies spread.
+    Rows travel once for every ``BLOCK_QUERIES`` queries, queries once for every block of rows, which is as large as
+    ``BLOCK_BYTES`` allows wherever the table gives every core such a block.
     """
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(
@@ -114,8 +127,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
         F.coalesce(finite, F.lit(False)).alias("ok"),
     )
     rows = rows.where(F.col("ok") & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)).drop("ok")
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, turns = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
+    n, asked, longest = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
+    most = BLOCK_BYTES // (8 * (longest or 1))
+    each = max(1, min(most, max(BLOCK_ROWS, n // vectors.sparkSession.sparkContext.defaultParallelism)))
+    blocks, turns = max(1, -(-n // each)), max(1, -(-asked // BLOCK_QUERIES))
     deal = lambda seed, m: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
     rows = rows.withColumn("dim", F.size("v"))
     held = rows.withColumn("block", deal(1, blocks)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
@@ -140,7 +155,6 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(out, types)], names)
 
-
     def side(df: DataFrame, n: str):
         # columns of its own for either side: both come from the same rows
         fresh = df.select(*(F.col(c).alias(f"{c}_{n}") for c in keys), *(F.col(c).alias(c) for c in ("id", "row", "v")))
@@ -155,3 +169,20 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every hundredth one."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: All distances, in the order in which :func:`distances` sums: the operator finds the true neighbours of the tables that this is run on.
+OP9_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), sound AS (
+  SELECT * FROM rows WHERE v IS NOT NULL AND len(v) > 0 AND vec_id IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(v, lambda x: x != 0)) > 0
+), apart AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])), lambda a, b: a + b)) AS score
+  FROM sound q JOIN sound c ON c.vec_id != q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM apart
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op9_ann": ann.OP9_SQL,
 }

@@ -113,7 +113,7 @@ def test_chat_digests(spark):
     rows = [(c, t, roles[(c + t * t) % 5], None if (c + t) % 7 == 0 else TEXTS[(c * 3 + t) % len(TEXTS)]) for c in range(20) for t in range(c % 6 + 1)]
     rows += [(3, 1, "user", "twin"), (3, 1, "user", "twin"), (None, 0, "assistant", "no conversation"), (77, None, "user", "no turn"), (77, 0, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))
-    examples = chat.expand_prefix_targets(df.select("conv_id", "turn", "role", "text"))
+    examples = chat.expand_prefix_targets(df)
     got = {r.conv_id: r for r in chat.chat_digest(examples).collect()}
     by = {}
     for c, t, role, text in rows:
@@ -128,3 +128,34 @@ def test_chat_digests(spark):
     one = {r.example: r for r in examples.where("conv_id = 77").collect()}
     assert one[0].context.endswith("<|im_start|>assistant\n") and one[0].target == "x" and one[0].tail == chat.END
     assert chat.chat_digest(chat.expand_prefix_targets(df.select("conv_id", "turn", "role", "text").limit(0))).count() == 0
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(9)] + [(-1, 0, "user", "real"), (-1, 1, "assistant", "x" * 300000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("lone", F.lit("clash"))
+    got = chat.chat_digest(chat.expand_prefix_targets(df)).collect()
+    assert sorted((r.conv_id is None, r.n_turns) for r in got) == [(False, 2)] + [(True, 1)] * 9
+    assert [r.loss_chars for r in got if r.conv_id == -1] == [300000]
+    assert sorted(r.loss_chars for r in got if r.conv_id is None) == [0] * 4 + [2] * 5
+
+
+def test_the_probe_is_no_part_of_a_real_conversation(spark, tmp_path):
+    rows = [(-1, 0, "user", "real"), (-1, 1, "assistant", "said"), (5, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op4_chat(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in got) == [(-1, 2, 4), (-1, 2, 34), (5, 1, 0)]
+
+
+def test_sources_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(documents(), SCHEMA)
+    want = sorted(map(str, mixing.mix(df, [3, 1, 2], 1.5).collect()))
+    kept = sorted(map(str, mixing.take(df, [3, 1, 2], 1.5).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(df, [3, 1, 2], 1.5).collect())) == want
+    assert sorted(map(str, mixing.take(df, [3, 1, 2], 1.5).collect())) == kept
+
+
+def test_very_long_texts_are_mixed_whole(spark):
+    rows = [(1, "word " * 400000, "a"), (2, "w", "a"), (3, "x y", "b")]
+    out = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA), [3, 1, 2], 1.0).collect()}
+    assert [out[i].size for i in (1, 2, 3)] == [400000, 1, 2]

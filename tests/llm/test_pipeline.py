@@ -62,7 +62,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got, want = entry.queries()[name](spark, SF).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     key = lambda df: sorted(map(str, df[sorted(df.columns)].values.tolist()))

@@ -237,7 +237,9 @@ def test_language_and_und(spark):
 
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 300 * 24 * 8)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(ann, "HELD_QUERIES", 3)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1200, 24)) + 3 * rng.normal(size=(8, 24))[rng.integers(0, 8, 1200)]
     x[700:1100] = x[700]  # a third are copies
