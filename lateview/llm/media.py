@@ -388,7 +388,11 @@ def payload_of(text: bytes | None) -> bytes:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, media``: every text as a JPEG column value. Null and empty texts make one row of padding."""
+    """``doc_id, media``: every text as a JPEG column value.
+
+    Null and empty texts make one row of padding; a payload of more lines than one image may have makes several images, one after another. Null ids
+    and repeated rows stay, equal texts have equal values, other columns are not read, an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 1 << 20):

@@ -27,7 +27,7 @@ from lateview.sources.shared import discard, fresh_folder
 SLICE = 1 << 20
 #: Bits of a SimHash over distinct words, of which two may differ in a proposed pair.
 BITS = 64
-#: Bytes of the bitmap of a text's shingles.
+#: Bytes of the smallest bitmap of a text's shingles; longer texts have twice, four times as many and so on, a bit a shingle at least.
 BITMAP = 128
 #: Texts whose shingles are counted to tell common from rare ones; common shingles held, at most.
 COUNTED, COMMON = 8192, 1 << 17
@@ -104,19 +104,35 @@ def word_codes(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmaps(of: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """``[text, byte]``: of each of the bitmap's places, whether an odd number of the text's shingles falls there."""
-    bits = BITMAP * 8
-    odd = np.bincount(of * bits + (h % np.uint64(bits)).astype(np.int64), minlength=texts * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(texts, bits), axis=1)
+def bitmaps(of: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
+    """Of each place of a text's bitmap, whether an odd number of the text's shingles falls there."""
+    n = np.bincount(of, minlength=texts)
+    bits = BITMAP * 8 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (BITMAP * 8)))).astype(np.int64)
+    start = np.cumsum(np.r_[0, bits])
+    odd = np.bincount(start[of] + (h & (bits[of] - 1).astype(np.uint64)).astype(np.int64), minlength=start[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [data[a:z] for a, z in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist())]
 
 
-def possible(threshold: float, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def folded(bitmap: bytes, size: int) -> bytes:
+    """A bitmap as it would be with ``size`` bytes, which must be a power of two less or the same."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = (int.from_bytes(bitmap[:half], "little") ^ int.from_bytes(bitmap[half:], "little")).to_bytes(half, "little")
+    return bitmap
+
+
+def possible(threshold: float, apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether sets of together ``sizes`` shingles may reach ``threshold``: they differ in as many at least as their bitmaps do."""
-    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     return apart * (1 + threshold) <= (1 - threshold) * sizes + 1e-6
 
 
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many places two bitmaps differ, at the size of the smaller."""
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size), "little") ^ int.from_bytes(folded(b, size), "little")).bit_count()
+
+
 def placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with a ``place`` for each row, written bucketed by place, and its columns' names by those in the table.
 
@@ -136,9 +152,9 @@ def placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def distinct_texts(rows: DataFrame, words: int) -> DataFrame:
-    """``node, id, fp, n, bits`` for every distinct text of ``place, id, text``: the row of the smallest id (null last) and then place.
+    """``node, id, fp, n, bits, small`` for every distinct text of ``place, id, text``: the row of the smallest id (null last) and then place.
 
-    Texts are equal if their SHA-256 is. fp: SimHash of the distinct words; n: distinct shingles; bits: their bitmap.
+    Texts are equal if their SHA-256 is. fp: SimHash of the distinct words; n: distinct shingles; bits: their bitmap; small: the same at the smallest size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +163,17 @@ def distinct_texts(rows: DataFrame, words: int) -> DataFrame:
             found, ends = word_hashes(texts)
             of, h = shingles(found, ends, words)
             digest = b"".join(bytes(16) if t is None else hashlib.sha256(t).digest()[:16] for t in texts)
-            bits = bitmaps(of, h, len(texts))
             columns = [b.column(0), b.column(1), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(texts), [None, pa.py_buffer(digest)]).cast(pa.binary())]
             columns += [pa.array(word_codes(found, ends)), pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))]
-            columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITMAP), len(texts), [None, pa.py_buffer(bits)]).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["place", "id", "digest", "fp", "n", "bits"])
+            bits = bitmaps(of, h, len(texts))
+            columns += [pa.array(bits, pa.binary()), pa.array([folded(x, BITMAP) for x in bits], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "id", "digest", "fp", "n", "bits", "small"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    keys = write_shared(rows.mapInArrow(run, f"place long, id {kind}, digest binary, fp long, n int, bits binary"))
+    keys = write_shared(rows.mapInArrow(run, f"place long, id {kind}, digest binary, fp long, n int, bits binary, small binary"))
     best = keys.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("w"))
     best = best.select(F.col("w.place").alias("node"))
-    out = write_shared(keys.join(best, keys.place == best.node).select("node", "id", "fp", "n", "bits"))
+    out = write_shared(keys.join(best, keys.place == best.node).select("node", "id", "fp", "n", "bits", "small"))
     discard(keys)
     return out
 
@@ -194,8 +210,8 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 8) for i in (2, 3))
-                ok = possible(threshold, left, right, b.column(4).to_numpy())
+                apart = [bits_apart(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                ok = possible(threshold, np.array(apart), b.column(4).to_numpy())
                 yield b.select([0, 1]).filter(pa.array(ok))
 
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").cast("long").alias(f"n_{k}"))
@@ -335,9 +351,10 @@ def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def crowd_pairs(crowds: DataFrame, threshold: float) -> DataFrame:
-    """All further candidates ``a, b`` of the crowds (``node, key, at, n, root, bits``), but for pairs of one root.
+    """All further candidates ``a, b`` of the crowds (``node, key, at, n, root, bits``, the small bitmap), but for pairs of one root.
 
-    A crowd is dealt in blocks of about ``CROWD`` members, every two of which meet in a bucket of their own.
+    A crowd is dealt in blocks of about ``CROWD`` members, every two of which meet in a bucket of their own. Bitmaps at their
+    smallest size pass over most pairs at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +374,7 @@ def crowd_pairs(crowds: DataFrame, threshold: float) -> DataFrame:
                     start += take
                     ok = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & _within(threshold, n, at, i, j)
                     i, j = i[ok], j[ok]
-                    ok = possible(threshold, bits[i], bits[j], n[i] + n[j])
+                    ok = possible(threshold, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64), n[i] + n[j])
                     i, j = i[ok], j[ok]
                     if len(i):
                         pair = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
@@ -391,8 +408,9 @@ def near_groups(table: DataFrame, text: str, nodes: DataFrame, words: int = 5, t
     near = verified(table, text, possible_pairs(pairs, nodes, threshold), words, threshold)
     roots = connected_components(_edges(roots).unionByName(near))
     crowds = more.where("b is null").select(F.col("a").alias("node"), "key", "at", "n")
-    held = nodes.select("node", "bits").join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
-    rest = verified(table, text, crowd_pairs(crowds.join(held, "node"), threshold), words, threshold)
+    held = nodes.select("node", F.col("small").alias("bits")).join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+    pairs = crowd_pairs(crowds.join(held, "node"), threshold)
+    rest = verified(table, text, possible_pairs(pairs, nodes, threshold), words, threshold)
     roots = connected_components(_edges(roots).unionByName(rest))
     discard(more)
     return roots

@@ -1,9 +1,13 @@
 """Near-duplicates against brute force over all pairs."""
 
+import collections
+import itertools
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lateview.llm import near as dedup
 
@@ -107,3 +111,81 @@ def test_crowds_in_an_order_that_puts_the_common_first(spark, monkeypatch):
     monkeypatch.setattr(dedup, "common_shingles", lambda *a: (lambda s, n: (s, -n))(*common(*a)))
     got = dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == want
+
+
+def components(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_no_pair_of_a_real_table_is_lost(spark):
+    """All pairs at 0.8 by an inverted index of every shingle, in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    first, sets, holds = {}, {}, {}
+    for k, t in rows:
+        if first.setdefault(t, k) != k:
+            continue
+        w = (t or "").encode().lower().split()
+        sets[k] = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+    for k in sorted(sets, key=lambda k: len(sets[k])):
+        for s in sets[k]:
+            holds.setdefault(s, []).append(k)
+    shared = collections.Counter()
+    for ks in holds.values():
+        if 1 < len(ks) <= 600:
+            shared.update(itertools.combinations(sorted(ks), 2))
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    groups = components(near)
+    want = {min(first[t], groups.get(first[t], first[t])) for _, t in rows}
+    got = {r.doc_id for r in dedup.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert len(near) > 20 and got == want
+
+
+def test_shingles_codes_and_bitmaps():
+    rng = random.Random(3)
+    texts = [None, b"", b" \t ", b"One", b"one two THREE four", b"a b c d e", b"a b c d e f a b c d e f"]
+    texts += [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 400))).encode() for _ in range(60)]
+    texts += [" ".join(rng.choices("abcdefghijklmnop", k=1500)).encode(), b"w " * 300000]
+    words, ends = dedup.word_hashes(texts)
+    of, h = dedup.shingles(words, ends, 5)
+    sets = [set(h[of == i].tolist()) for i in range(len(texts))]
+    plain = []
+    for t in texts:
+        w = (t or b"").lower().split()
+        plain.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    assert all(len(sets[i] & sets[j]) == len(plain[i] & plain[j]) for i in range(40) for j in range(i))
+    bits = dedup.bitmaps(of, h, len(texts))
+    assert {len(x) for x in bits} == {128, 256} and len(bits[-2]) == 256
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = dedup.bits_apart(bits[i], bits[j])
+            assert apart <= len(sets[i] ^ sets[j])
+            shared = len(sets[i] & sets[j])
+            if sets[i] and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                assert dedup.possible(0.8, np.array([apart]), np.array([len(sets[i]) + len(sets[j])]))[0]
+    small = dedup.bitmaps(of[of == len(texts) - 2][:900] * 0, h[of == len(texts) - 2][:900], 1)[0]
+    assert len(small) == 128 and dedup.folded(bits[-2], 128) != bits[-2]
+    codes = dedup.word_codes(words, ends)
+    assert codes[0] == codes[1] == codes[2] == 0
+    again, e = dedup.word_hashes(texts[3:6])
+    assert dedup.word_codes(again, e).tolist() == codes[3:6].tolist()
+
+
+def test_unwritten_frames_nulls_and_empty_tables(spark):
+    rows = [(None, "a b c d e f", 1), (4, "a b c d e f", 2), (None, None, 3), (5, None, 4), (6, "", 5), (7, "", 6), (8, " ", 7), (9, "A B c d e f", 8), (9, "x", 9), (9, "x", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3).withColumn("node", F.rand())
+    got = sorted((r.doc_id, r.text, r.place) for r in dedup.drop_near_duplicates(df).collect())
+    assert got == [(4, "a b c d e f", 2), (5, None, 4), (6, "", 5), (8, " ", 7), (9, "x", 9)]
+    assert dedup.drop_near_duplicates(df).columns == df.columns and dedup.drop_near_duplicates(df.limit(0)).count() == 0

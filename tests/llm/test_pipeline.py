@@ -55,6 +55,29 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, whole)) == sorted(map(str, seen[4]))
 
 
+def test_stages_with_nulls_repeats_further_columns_and_no_rows(spark, tmp_path):
+    words = "the quick brown fox jumps over the lazy dog near the old river bank"
+    rows = [(None, words, None, None, None, 1), (1, words, "en", "a", 5, 1), (1, words, "en", "a", 5, 1), (2, None, None, "a", None, None), (3, "", "en", None, 0, 2)]
+    rows += [(4, "x " * 60000 + "mail jane@mail.example.org", "en", "b", 1, 3), (5, "other words altogether", None, "b", 1, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, place int")
+    for name, some in (("some", df), ("none", df.limit(0))):
+        docs = some
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            if i < 4:
+                assert docs.columns == df.columns
+            if name == "none":
+                assert docs.count() == 0
+            elif i == 1:
+                assert sorted((r.doc_id, r.place) for r in docs.collect()) == [(1, 1), (4, 3), (5, 3)]
+            elif i == 2:
+                assert {r.doc_id for r in docs.collect() if "<EMAIL>" in r.text} == {4}
+            elif i == 4:
+                assert {r.doc_id for r in docs.collect()} <= {1, 4, 5} and all(r.decoded_ok for r in docs.collect())
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
