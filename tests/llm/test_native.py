@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lateview.llm import chat, mixing, sharding
@@ -159,3 +161,26 @@ def test_very_long_texts_are_mixed_whole(spark):
     rows = [(1, "word " * 400000, "a"), (2, "w", "a"), (3, "x y", "b")]
     out = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA), [3, 1, 2], 1.0).collect()}
     assert [out[i].size for i in (1, 2, 3)] == [400000, 1, 2]
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    """Sizes in order of the texts' hashes, cut where the middle of a record passes a shard's share."""
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", 1)
+    monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 500)  # so that no range is overfull
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 200)) for i in range(900)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def key(i, t):
+        low = xxhash.xxh64_intdigest(struct.pack("<q", i), 42) >> 32
+        return signed(xxhash.xxh64_intdigest(t.encode(), 42) >> 32 << 32 | low)
+
+    want, start, total = {}, 0, sum(len(t) + 16 for _, t in rows)
+    slots = [0] * 6
+    for i, t in sorted(rows, key=lambda r: key(*r)):
+        size = len(t) + 16
+        shard = min(5, int((start + size / 2) * 6 / total))
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+        start += size
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()}
+    assert got == want
