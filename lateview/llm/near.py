@@ -257,13 +257,13 @@ def verified(table: DataFrame, text: str, pairs: DataFrame, words: int, threshol
     return out
 
 
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the shingles that a bounded sample of ``node, text`` holds thrice or more, and how often.
+def common_shingles(texts: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the shingles that a bounded sample of the ``n`` texts ``node, text`` holds thrice or more, and how often.
 
     They only say in which order shingles stand in a prefix, and which buckets are dealt out from the start. Any order
     gives the same pairs; this one keeps buckets small.
     """
-    rate = min(1.0, COUNTED / max(1, texts.count()))
+    rate = min(1.0, COUNTED / max(1, n))
     drawn = texts.where(F.xxhash64("node", F.lit(9)).bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(rate * (1 << 40))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +275,13 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
-def prefix_rows(texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """``key, part, node, shift, meta`` of every text's prefix, from ``node, text, root``.
+def prefix_rows(texts: DataFrame, words: int, threshold: float, n: int) -> DataFrame:
+    """``key, part, node, shift, meta`` of every text's prefix, from the ``n`` texts ``node, text, root``.
 
     A prefix holds a fifth of a text's shingles, rare ones first. shift: root less node, as most are their own root; meta: place in the order
     and number of shingles, in one long. part: 0; or, for a shingle that is common in the sample, one of as many parts from 1 as it may need.
     """
-    n = texts.count()
-    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))  # bounded by COMMON
+    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words, n))  # bounded by COMMON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = held.value
@@ -403,7 +402,7 @@ def near_groups(table: DataFrame, text: str, nodes: DataFrame, words: int = 5, t
     roots = connected_components(near)
     known = nodes.where("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).hint("shuffle_hash")
     texts = table.join(known, F.col("place") == F.col("node")).select("node", F.col(text).cast("binary").alias("text"), "root")
-    more = write_shared(prefix_pairs(prefix_rows(texts, words, threshold), threshold))
+    more = write_shared(prefix_pairs(prefix_rows(texts, words, threshold, nodes.where("n > 0").count()), threshold))
     pairs = more.where("b is not null").select("a", "b").distinct()
     near = verified(table, text, possible_pairs(pairs, nodes, threshold), words, threshold)
     roots = connected_components(_edges(roots).unionByName(near))

@@ -91,7 +91,7 @@ def test_copies_with_a_passage_more_go_too(spark):
     want = kept_by_brute_force(rows)
     got = dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == want
-    fewer = dedup.common_shingles(spark.createDataFrame([(1, b"a b c d e f")] * 3, "node long, text binary"), 5)
+    fewer = dedup.common_shingles(spark.createDataFrame([(1, b"a b c d e f")] * 3, "node long, text binary"), 5, 3)
     assert fewer[1].tolist() == [3, 3]
 
 
