@@ -20,7 +20,7 @@ from lateview.llm.common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Nodes after which a task starts its trie afresh; longer pre-tokens are scored without it.
+#: Nodes after which a task starts its trie afresh; depth of the trie, beyond which a pre-token's scores go on without nodes.
 TRIE_NODES, TRIE_LENGTH = 1_200_000, 64
 
 #: No piece goes on with a space after another character, and none holds a line feed: cuts there change no best path.
@@ -108,15 +108,13 @@ class Trie:
         self.terminal: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
-        """The number of tokens of ``word``, stored at its terminal."""
-        if len(word) > TRIE_LENGTH:
-            return len(self.pieces.encode_word(word))
+        """The number of tokens of ``word``, stored at its terminal unless it ends below the trie's depth."""
         if len(self.best) > TRIE_NODES:
             self.clear()
         endings, missing = self.pieces.endings, self
         child, best, count = self.child, self.best, self.count
         node, path, end = 0, [0], 0
-        for c in word:
+        for c in word if len(word) <= TRIE_LENGTH else word[:TRIE_LENGTH]:
             end += 1
             key = node << 21 | ord(c)
             node = child.get(key, -1)
@@ -142,9 +140,36 @@ class Trie:
                 best.append(top)
                 count.append(n)
             path.append(node)
+        if len(word) > TRIE_LENGTH:
+            return self._beyond(word, [best[x] for x in path], [count[x] for x in path])
         self.terminal[word] = count[node]
         return count[node]
 
+    def _beyond(self, word: str, best: list[float], count: list[int]) -> int:
+        """The tokens of a word deeper than the trie, from the scores and counts of its first ``TRIE_LENGTH`` places; few places are held at once."""
+        endings, missing, gone = self.pieces.endings, self, 0
+        for end in range(TRIE_LENGTH + 1, len(word) + 1):
+            c = word[end - 1]
+            score = endings.get(c)
+            if score is None:
+                top, n = best[-1] + self.pieces.unknown, count[-1] + len(c.encode())
+            else:
+                top, n = best[-1] + score, count[-1] + 1
+            start = end - 2
+            while start >= 0:
+                score = endings.get(word[start:end], missing)
+                if score is missing:
+                    break
+                if score is not None and score + best[start - gone] >= top:
+                    top, n = score + best[start - gone], count[start - gone] + 1
+                start -= 1
+            best.append(top)
+            count.append(n)
+            if len(best) > 4096:
+                gone += len(best) - self.pieces.longest
+                del best[: -self.pieces.longest], count[: -self.pieces.longest]
+        return count[-1]
+
     def tokens(self, text: str) -> tuple[int, int]:
         """Tokens and pre-tokens of a whole text."""
         if not text:
@@ -164,7 +189,7 @@ class Trie:
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, n_words`` (pre-tokens) of every whole text under the unigram model of ``model``.
 
-    Null and empty texts have none. Null ids and repeated rows stay, other columns are not read,
+    Null and empty texts have none; very long texts are counted whole. Null ids and repeated rows stay, other columns are not read,
     an empty table gives no rows. A task's trie and its terminal counts are bounded.
     """
     pieces = Pieces(model)

@@ -305,6 +305,15 @@ def test_counts_and_pieces(spark, vocabulary, monkeypatch):
     assert sentencepieces.encode(df.limit(0)).count() == 0 and pieces.token_counts(df.limit(0)).count() == 0
 
 
+def test_words_deeper_than_the_trie(vocabulary):
+    rng = random.Random(17)
+    trie = pieces.Trie(vocabulary)
+    for n in (63, 64, 65, 66, 80, 200, 9000):
+        for letters in ("ab", "thean", "é日x", "a"):
+            word = " " + "".join(rng.choices(letters, k=n - 1))
+            assert trie.insert(word) == trie.insert(word) == len(vocabulary.encode_word(word))
+
+
 def test_blocks_of_many_sizes(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(sentencepieces, "BLOCK_BYTES", 200)
     texts = [f"word{i} again and again" for i in range(80)]
@@ -400,3 +409,13 @@ def test_base_counts_equal_sql(spark):
     want = sorted(duckdb.sql(sql).fetchall())
     got = sorted(map(tuple, pii.op6_pii(spark, "/root/testdata/sf0.001").select("doc_id", "n_email", "n_ip", "n_card", "n_phone").collect()))
     assert got == want and sum(map(sum, (w[1:] for w in want))) > 5
+
+
+def test_long_vectors_make_small_blocks(spark):
+    rng = np.random.default_rng(40)
+    x = rng.normal(size=(25, 6000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    d[0] = np.inf
+    assert got == [(0, int(i)) for i in np.argsort(d)[:3]]
