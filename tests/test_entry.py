@@ -26,6 +26,10 @@ def test_every_query_has_sql():
     assert set(core.QUERIES) == set(core.ORACLE_SQL) and set(core.QUERIES) <= set(entry.queries())
 
 
+def test_what_is_not_there_is_told_from_what_fails():
+    assert entry._there("lateview.queries") and not entry._there("lateview.nothing") and not entry._there("lateview.nothing.more") and not entry._there("no_such_pipeline")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
