@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -41,6 +41,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[inner[ends[0]] : inner[ends[-1]]].reshape(-1, width), ends - ends[0]
 
 
+def each(column: pa.Array) -> Iterator[np.ndarray]:
+    """Every value of an array<array<double>> column as a matrix of its own; a null, empty or ragged one comes as an empty matrix."""
+    ends = column.offsets.to_numpy()
+    inner = column.values.offsets.to_numpy()
+    values = column.values.values.to_numpy(zero_copy_only=False)
+    for a, z in zip(ends[:-1], ends[1:]):
+        width = np.diff(inner[a : z + 1])
+        even = len(width) and width[0] and (width == width[0]).all()
+        yield values[inner[a] : inner[z]].reshape(z - a, width[0]) if even else np.zeros((0, 0))
+
+
 #: Products of a query row and a document row that are held at once.
 HELD = 1 << 22
 

@@ -226,10 +226,19 @@ def refine(index: CompactIndex, query: Sequence, candidates: Sequence, full: Dat
     for c in ids:
         if c not in there:
             raise KeyError(f"candidate has no full vectors: {c}")
-    fits = F.forall("m", lambda v: F.size(v) == q.shape[1])
-    fail = F.raise_error(F.lit("query and document dimensions differ")).cast("double")
-    score = F.when(fits, vec.maxsim(vec.literal(q.tolist()), vec.unit_rows(F.col("m")))).otherwise(fail)
-    return rows.select("item_id", score.alias("score")).orderBy(F.desc("score"), "item_id").limit(top_k or len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = []
+            for m in matrix.each(b.column(1)):
+                m = matrix.checked(m, "expected a non-empty rank-2 matrix", "vectors must be finite")
+                if m.shape[1] != q.shape[1]:
+                    raise ValueError("query and document dimensions differ")
+                scores.append(matrix.maxsim(q, matrix.unit_rows(m)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["item_id", "score"])
+
+    scored = rows.mapInArrow(run, "item_id string, score double")
+    return scored.orderBy(F.desc("score"), "item_id").limit(top_k or len(ids))
 
 
 def _checked(index: CompactIndex, query: Sequence, candidates: Sequence, top_k: int | None) -> tuple[list[str], np.ndarray]:

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 
 from lateview.operators import encode, index
 from lateview.plans import contracts
@@ -225,6 +226,13 @@ def test_candidates_may_be_results(spark, small):
         index.refine(small, QUERY, ["a", "c"], table)
 
 
+@pytest.mark.parametrize("vectors, match", [([[1.0]], "dimensions differ"), ([[1.0, 2.0], [1.0]], "rank-2"), (None, "rank-2"), ([[float("nan"), 1.0]], "finite")])
+def test_full_vectors_are_checked(spark, small, vectors, match):
+    table = spark.createDataFrame([("a", vectors)], "item_id string, vectors array<array<double>>")
+    with pytest.raises(PythonException, match=match):
+        index.refine(small, QUERY, ["a"], table).collect()
+
+
 def test_offsets_over_many_ranges(spark):
     rng = np.random.default_rng(9)
     sizes = rng.integers(1, 6, size=700)
