@@ -162,9 +162,8 @@ def distinct_texts(rows: DataFrame, words: int) -> DataFrame:
             texts = b.column(2).to_pylist()
             found, ends = word_hashes(texts)
             of, h = shingles(found, ends, words)
-            digest = b"".join(bytes(16) if t is None else hashlib.sha256(t).digest()[:16] for t in texts)
-            columns = [b.column(0), b.column(1), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(texts), [None, pa.py_buffer(digest)]).cast(pa.binary())]
-            columns += [pa.array(word_codes(found, ends)), pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))]
+            digest = [bytes(32) if t is None else hashlib.sha256(t).digest() for t in texts]
+            columns = [b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(word_codes(found, ends)), pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32))]
             bits = bitmaps(of, h, len(texts))
             columns += [pa.array(bits, pa.binary()), pa.array([folded(x, BITMAP) for x in bits], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["place", "id", "digest", "fp", "n", "bits", "small"])
