@@ -203,6 +203,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, schema: str, made) -> D
         part = TaskContext.get().partitionId()
         for n, held in enumerate(_gathered(slices(batches, 1, 1 << 20), BLOCK_BYTES)):
             yield made(part << 32 | n, held)
+            pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -253,6 +254,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         return pa.table([left["block"], left["bucket"], pa.array(blobs, pa.binary())], ["block", "bucket", "codes"])
 
     def put_together(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         if left.num_rows != 1:
             raise ValueError("words of a block that the documents do not have: the table changed between two readings")
         squeezed = zstandard.ZstdDecompressor()
